@@ -1 +1,8 @@
 """archspark: architecture conformance analytics on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions for Python workers travel with the task: executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import audio, decontaminate, langid, licenses, mixing
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1,
+    "op3_audio_features": audio.op3,
+    "op4_license_scan": licenses.op4,
     "op5_mix_sources": mixing.op5,
+    "op10_language_id": langid.op10,
 }
 ORACLES = {
+    "op1_decontaminate": decontaminate.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
 }
