@@ -9,7 +9,7 @@ with the item are then compared one by one: a match counts 1, a substitution -PE
 the best stretch must reach MIN_SCORE. All of it stays in the JVM, and the training side is
 never shuffled before it has been reduced to hits.
 
-Tokens are runs of letters and digits in lower case. Null and empty texts have none and
+Tokens are runs of ASCII letters and digits and of other scripts' characters, in lower case. Null and empty texts have none and
 are never hits. Items of fewer than MIN_TOKENS tokens are too short to tell and are not
 searched; items shorter than the masks must occur as a whole. Equal items are found each.
 Repeated rows of a doc_id count as one. Rows with a null doc_id or item_id are kept apart
@@ -29,12 +29,17 @@ MIN_TOKENS, MIN_SCORE, PENALTY = 5, 10, 2
 #: Most benchmark windows in one broadcast (some 50 bytes each), and most items.
 BLOCK_ROWS, BROADCAST_ITEMS = 1_000_000, 20_000
 
-TOKEN_GAP = r"[^\p{L}\p{N}]+"
+TOKEN_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def tokens(text: str = "text") -> Column:
-    # filter() keeps this projection out of the generated loop over positions, which would split the text again at each.
-    return F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), TOKEN_GAP), lambda x: x != "")
+    """The 64-bit hash of each token: what is compared and carried from here on.
+
+    The lambda functions also keep this projection out of the generated loop over
+    positions, which would split the text again at each.
+    """
+    words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), TOKEN_GAP)
+    return F.transform(F.filter(words, lambda x: x != ""), lambda x: F.xxhash64(x))
 
 
 def _seed(words: str, at: str, mask: str) -> str:
@@ -59,7 +64,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS)
     seeds = F.expr("array(" + ", ".join(f"named_struct('mask', {i}, 'h', if({cond}, {_seed('item', 'item_at', m)}, null), 'before', {_seed('item', '(item_at - 1)', m)})" for i, (m, cond) in enumerate(chosen)) + ")")
     rows = settle(rows.select("item_id", "item_at", F.size("item").alias("item_len"), F.explode(seeds).alias("s")).select("item_id", "item_at", "item_len", "s.*").filter("h is not null"), "bench-seeds")
     blocks = max(1, -(-rows.count() // BLOCK_ROWS))
-    windows = docs.select("doc_id", tokens().alias("words")).filter(F.size("words") >= least).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("words") - least)))
+    windows = docs.select("doc_id", tokens().alias("words")).withColumn("at", F.explode(F.expr(f"if(size(words) >= {least}, sequence(0, size(words) - {least}), null)")))
     windows = windows.withColumn("h", F.explode(F.expr("array(" + ", ".join(_seed("words", "at", m) for m, _ in chosen) + ")")))
     before = "case mask " + " ".join(f"when {i} then {_seed('words', '(at - 1)', m)}" for i, (m, _) in enumerate(chosen)) + " end"
     out = None
@@ -106,9 +111,9 @@ _WINDOW_SQL = " UNION ALL ".join(
 
 ORACLE = rf"""
 WITH d AS (
-  SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS t FROM documents),
+  SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS t FROM documents),
 b AS (
-  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS t FROM benchmark),
+  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS t FROM benchmark),
 dw AS ({_WINDOW_SQL.format(id="doc_id", rel="d")}),
 bw AS ({_WINDOW_SQL.format(id="item_id", rel="b")}),
 g AS (
