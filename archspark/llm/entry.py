@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import audio, decontaminate, langid, licenses, mixing
+from . import audio, decontaminate, langid, licenses, mixing, neardup
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
     "op3_audio_features": audio.op3,
     "op4_license_scan": licenses.op4,
     "op5_mix_sources": mixing.op5,
+    "op9_near_dedup": neardup.op9,
     "op10_language_id": langid.op10,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
+    "op9_near_dedup": neardup.oracle(),
 }
