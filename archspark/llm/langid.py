@@ -37,6 +37,8 @@ _LETTERS = bytes((b + 32 if 65 <= b <= 90 else b) if 65 <= b <= 90 or 97 <= b <=
 
 def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each trigram of all texts, -1 where it holds no letter or ends in the next text; each text's offset."""
+    if not texts:
+        return np.empty(0, np.int32), np.empty(0, np.int64)
     raw = [b" " + (t or "").encode().translate(_LETTERS) + b"  " for t in texts]
     offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
     b = np.frombuffer(b"".join(raw), np.uint8).astype(np.int32)
