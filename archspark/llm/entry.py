@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import audio, decontaminate, langid, licenses, mixing, neardup
+from . import audio, decontaminate, langid, licenses, mixing, neardup, substrings
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
     "op3_audio_features": audio.op3,
     "op4_license_scan": licenses.op4,
     "op5_mix_sources": mixing.op5,
+    "op8_suffix_dedup": substrings.op8,
     "op9_near_dedup": neardup.op9,
     "op10_language_id": langid.op10,
 }
