@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import audio, decontaminate, langid, licenses, mixing, neardup, substrings
+from . import audio, decontaminate, langid, licenses, mixing, neardup, secrets, substrings, urls
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
     "op3_audio_features": audio.op3,
     "op4_license_scan": licenses.op4,
     "op5_mix_sources": mixing.op5,
+    "op6_url_filter": urls.op6,
+    "op7_secret_scan": secrets.op7,
     "op8_suffix_dedup": substrings.op8,
     "op9_near_dedup": neardup.op9,
     "op10_language_id": langid.op10,
@@ -16,5 +18,6 @@ QUERIES = {
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
+    "op6_url_filter": urls.ORACLE,
     "op9_near_dedup": neardup.oracle(),
 }
