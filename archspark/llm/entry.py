@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import audio, decontaminate, langid, licenses, mixing, neardup, secrets, substrings, urls
+from . import audio, decontaminate, langid, licenses, lines, mixing, neardup, secrets, substrings, urls
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
+    "op2_line_dedup": lines.op2,
     "op3_audio_features": audio.op3,
     "op4_license_scan": licenses.op4,
     "op5_mix_sources": mixing.op5,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op2_line_dedup": lines.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
     "op6_url_filter": urls.ORACLE,
     "op9_near_dedup": neardup.oracle(),
