@@ -13,7 +13,8 @@ retained values give overlaps:
    documents with so many values in long lists are left. They go through an exact prefix
    filter: their shingles are ordered by rarity, and a pair of the threshold must share one
    among the rarest n - ceil(threshold * n) + 1. Prefix lists again make stars first (around
-   the most central member) and then pairs across components.
+   the most central member) and then pairs across components, if at the shingle they share
+   both have enough left to reach the threshold.
 
 Pairs of each step pass the union-sketch estimate and are verified on full sets. Links of
 rounds 1 to 3 hold all links between components, hence components are whole.
@@ -45,7 +46,7 @@ LEAST_OVERLAP = 0.8 - 5 * (0.8 * 0.2 / SKETCH) ** 0.5
 #: Counters of the order by rarity: any order is exact, a better one prunes more.
 RARITY = 1 << 16
 #: Document ids that may be broadcast to pick texts for verification; more are joined by shuffle.
-BROADCAST_IDS = 500_000
+BROADCAST_IDS = 200_000
 
 _BASE = 0x9E3779B97F4A7C15
 
@@ -202,7 +203,7 @@ def near_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         texts = docs.join(dense.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text"))
         texts = settle(texts, "near-dense-texts")
         keyed = settle(_prefixes(texts, _rarity(texts, size), size, percent), "near-prefixes")
-        keys = keyed.select("rep", "n", "central", F.explode("keys").alias("value"))
+        keys = keyed.select("rep", "n", "central", F.posexplode("keys").alias("pos", "value"))
         led = keys.groupBy("value").agg(F.count(F.lit(1)).alias("s"), F.max_by("rep", F.struct("central", "rep")).alias("leader")).filter("s > 1")
         prefixes = settle(keys.join(led, "value"), "near-prefix-lists")
         pairs = pairs.union(_stars(prefixes, 1)).distinct()
@@ -213,8 +214,11 @@ def near_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         rest = _with_components(prefixes, comps)
         largest = rest.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("value").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
         rest = rest.join(largest, "value")
-        side = lambda x: rest.select("value", F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("comp").alias(f"comp_{x}"), (F.col("comp") == F.col("main")).alias(f"main_{x}"))
-        room = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+        side = lambda x: rest.select("value", F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("pos").alias(f"pos_{x}"), F.col("comp").alias(f"comp_{x}"), (F.col("comp") == F.col("main")).alias(f"main_{x}"))
+        # At a pair's first common shingle no more can be in common than what either has from there on.
+        # Later ones may fail this; the first one never does for a pair that reaches the threshold.
+        room = (100 + percent) * F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= percent * (F.col("n_a") + F.col("n_b"))
+        room &= 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
         cross = side("a").filter("not main_a").join(side("b"), "value").filter(room & F.expr("comp_a <> comp_b and (main_b or a > b)")).select("a", "b").distinct()
         edges = edges.union(_verified(cross, reps, docs, size, percent))
         comps = components(edges)
