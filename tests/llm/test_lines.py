@@ -44,7 +44,7 @@ def expected(rows, k):
 
 def edited(r, line, n):
     for _ in range(n):
-        at = r.randrange(len(line))
+        at = r.randrange(len(line)) if line else 0
         line = r.choice((line[:at] + "z" + line[at:], line[:at] + line[at + 1 :], line[:at] + "y" + line[at + 1 :]))
     return line
 
