@@ -12,6 +12,11 @@ def _sql(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it: expressions in expressions stay as long as they read."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def segments(path: Column | str) -> Column:
     """[] for the root, else the parts between slashes, empty ones included."""
     p = _sql(path)
@@ -20,8 +25,7 @@ def segments(path: Column | str) -> Column:
 
 def dirname(path: Column | str) -> Column:
     """What stands before the last slash, `.` without one."""
-    p = _sql(path)
-    return F.when(F.instr(p, "/") == 0, F.lit(".")).otherwise(F.regexp_replace(p, "/[^/]*$", ""))
+    return let(_sql(path), lambda p: F.when(F.instr(p, "/") == 0, F.lit(".")).otherwise(F.regexp_replace(p, "/[^/]*$", "")))
 
 
 def basename(path: Column | str) -> Column:
@@ -30,8 +34,7 @@ def basename(path: Column | str) -> Column:
 
 def node_key(path: Column | str, file_level: bool = False) -> Column:
     """The path itself for file nodes; for directory nodes the directory, wherever a dot makes it look like a file."""
-    p = _sql(path)
-    return p if file_level else F.when(F.instr(p, ".") == 0, p).otherwise(dirname(p))
+    return _sql(path) if file_level else let(_sql(path), lambda p: F.when(F.instr(p, ".") == 0, p).otherwise(dirname(p)))
 
 
 def is_file_glob(glob: Column | str) -> Column:
@@ -42,7 +45,10 @@ def is_file_glob(glob: Column | str) -> Column:
 
 def clean(path: Column | str) -> Column:
     """Lexically shortest form: no empty parts, no `.`, `..` taken back where something precedes it."""
-    p = _sql(path)
+    return let(_sql(path), _clean)
+
+
+def _clean(p: Column) -> Column:
     fold = F.aggregate(
         F.split(p, "/"),
         F.expr(NO_STRINGS),
@@ -51,8 +57,7 @@ def clean(path: Column | str) -> Column:
         .when((s == "..") & F.startswith(p, F.lit("/")), acc)
         .otherwise(F.concat(acc, F.array(s))),
     )
-    joined = F.array_join(fold, "/")
-    return F.when(F.startswith(p, F.lit("/")), F.concat(F.lit("/"), joined)).when(joined == "", F.lit(".")).otherwise(joined)
+    return let(F.array_join(fold, "/"), lambda joined: F.when(F.startswith(p, F.lit("/")), F.concat(F.lit("/"), joined)).when(joined == "", F.lit(".")).otherwise(joined))
 
 
 def join(base: Column | str, rest: Column | str) -> Column:
@@ -61,11 +66,19 @@ def join(base: Column | str, rest: Column | str) -> Column:
 
 def relative(base: Column | str, target: Column | str) -> Column:
     """The way from one clean path to another."""
-    a, b = segments(F.ltrim(_sql(base), F.lit("/"))), segments(F.ltrim(_sql(target), F.lit("/")))
-    # The first place where they differ.
-    common = F.aggregate(F.arrays_zip(a.alias("x"), b.alias("y")), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, z: F.struct((s["n"] + F.when(s["on"] & (z["x"] == z["y"]), 1).otherwise(0)).alias("n"), F.coalesce(s["on"] & (z["x"] == z["y"]), F.lit(False)).alias("on")), lambda s: s["n"])
-    out = F.concat_ws("/", F.array_repeat(F.lit(".."), F.size(a) - common), F.slice(b, common + 1, F.greatest(F.size(b) - common, F.lit(0))))
-    return F.when(out == "", F.lit(".")).otherwise(out)
+    parts = lambda c: segments(F.ltrim(_sql(c), F.lit("/")))
+    return let(F.struct(parts(base).alias("a"), parts(target).alias("b")), _way)
+
+
+def _way(ends: Column) -> Column:
+    a, b = ends["a"], ends["b"]
+    # How many segments agree before the first that doesn't.
+    common = F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, same: F.struct((s["n"] + (s["on"] & same).cast("int")).alias("n"), (s["on"] & same).alias("on")), lambda s: s["n"])
+
+    def joined(n: Column) -> Column:
+        return F.concat_ws("/", F.array_repeat(F.lit(".."), F.size(a) - n), F.slice(b, n + 1, F.greatest(F.size(b) - n, F.lit(0))))
+
+    return let(let(common, joined), lambda out: F.when(out == "", F.lit(".")).otherwise(out))
 
 
 def escapes(rel: Column | str) -> Column:
@@ -75,6 +88,10 @@ def escapes(rel: Column | str) -> Column:
 
 def ancestors(path: Column | str) -> Column:
     """The directories above an absolute path, nearest first, `/` last."""
-    n = F.size(F.split(_sql(path), "/"))
-    up = F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.when(n - k == 1, F.lit("/")).otherwise(F.array_join(F.slice(F.split(_sql(path), "/"), 1, n - k), "/")))
-    return F.when(n > 1, up).otherwise(F.expr(NO_STRINGS))
+
+    def up(parts: Column) -> Column:
+        n = F.size(parts)
+        every = F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.when(n - k == 1, F.lit("/")).otherwise(F.array_join(F.slice(parts, 1, n - k), "/")))
+        return F.when(n > 1, every).otherwise(F.expr(NO_STRINGS))
+
+    return let(F.split(_sql(path), "/"), up)

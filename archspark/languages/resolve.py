@@ -26,8 +26,7 @@ def go(spec: Column, capsule_id: Column) -> Column:
 
 
 def _inside(base: Column, spec: Column) -> Column:
-    full = paths.join(base, spec)
-    return F.when(~paths.escapes(full), full)
+    return paths.let(paths.join(base, spec), lambda full: F.when(~paths.escapes(full), full))
 
 
 def dart(spec: Column, capsule_id: Column, rel: Column) -> Column:
@@ -46,8 +45,12 @@ def kotlin(spec: Column, capsule_id: Column, rel: Column) -> Column:
 def rust(spec: Column, capsule_id: Column, rel: Column) -> Column:
     """The last item of a path is a name, not a place; a bare name is a sibling."""
     at = F.length(spec) - F.instr(F.reverse(spec), " sa ") - 2  # of the last " as ", from 1
-    bare = F.when(F.contains(spec, F.lit(" as ")), F.trim(F.substring(spec, F.lit(1), at - 1))).otherwise(spec)
-    here = paths.dirname(rel)
+    whole = F.when(F.contains(spec, F.lit(" as ")), F.trim(F.substring(spec, F.lit(1), at - 1))).otherwise(spec)
+    return paths.let(F.struct(whole.alias("bare"), paths.dirname(rel).alias("here"), capsule_id.alias("id")), _rust)
+
+
+def _rust(x: Column) -> Column:
+    bare, here, capsule_id = x["bare"], x["here"], x["id"]
 
     def place(base: Column, rest: Column) -> Column:
         parts = F.split(rest, "::")

@@ -59,12 +59,12 @@ def _aliases(caps: DataFrame, files: DataFrame) -> DataFrame:
     configs = files.filter(~F.col("is_dir") & F.endswith(F.col("abs"), F.lit(".json"))).select(F.col("abs").alias("config"), F.from_json(F.col("content").cast("string"), shape, {"mode": "PERMISSIVE"}).alias("c")).filter("c is not null")
     own = caps.filter("lang = 'typescript'").select("capsule_dir", F.col("capsule_dir").alias("at"), F.concat("capsule_dir", F.lit("/tsconfig.json")).alias("config"), F.lit(0).alias("depth"))
     every, step = None, own
-    for _ in range(8):  # configurations that extend others, nearest first
-        read = step.join(configs, "config")
+    while every is None or not step.isEmpty():  # configurations that extend others, nearest first
+        read = cut(step.join(configs, "config"))
         every = read if every is None else every.unionByName(read)
         e = F.col("c.extends")
         target = F.when(F.startswith(e, F.lit("/")), e).otherwise(F.concat("at", F.lit("/node_modules/"), e, F.lit("/tsconfig.json")))
-        step = read.filter("c.extends <> ''").select("capsule_dir", paths.clean(target).alias("config"), (F.col("depth") + 1).alias("depth")).withColumn("at", paths.dirname("config"))
+        step = read.filter("c.extends <> '' and depth < 8").select("capsule_dir", paths.clean(target).alias("config"), (F.col("depth") + 1).alias("depth")).withColumn("at", paths.dirname("config"))
     base = every.filter("c.compilerOptions.baseUrl <> ''").groupBy("capsule_dir").agg(F.min_by(F.regexp_replace("c.compilerOptions.baseUrl", "/$", ""), "depth").alias("base_url"))
     pairs = every.select("capsule_dir", "depth", F.explode("c.compilerOptions.paths").alias("pattern", "replacements")).groupBy("capsule_dir", "pattern").agg(F.min_by("replacements", "depth").alias("replacements"))
     return pairs.filter(F.size("replacements") > 0).join(base, "capsule_dir", "left")
@@ -75,12 +75,16 @@ def resolved(imports: DataFrame, caps: DataFrame, files: DataFrame, hidden: Data
     spec, rel, capsule_id = F.col("path"), F.col("rel"), F.col("capsule_id")
     plain = F.when(F.col("lang") == "go", targets.go(spec, capsule_id)).when(F.col("lang") == "dart", targets.dart(spec, capsule_id, rel)).when(F.col("lang") == "kotlin", targets.kotlin(spec, capsule_id, rel)).when(F.col("lang") == "rust", targets.rust(spec, capsule_id, rel))
     out = imports.filter("lang <> 'typescript'").withColumn("target", plain)
+    spoken = {r.lang for r in caps.select("lang").distinct().collect()}  # as many as there are languages
+    if "typescript" not in spoken:
+        every = out.filter("target is not null").withColumn("target_abs", paths.join(F.col("capsule_dir"), F.col("target")))
+        return every.join(hidden.select(F.col("abs").alias("target_abs")), "target_abs", "left_anti")
     ts = imports.filter("lang = 'typescript'")
     existing = files.select("abs")
     bare = ts.filter(~F.startswith(spec, F.lit("."))).select("capsule_dir", spec.alias("spec"))
     found = targets.typescript_aliases(bare, _aliases(caps, files), existing).select("capsule_dir", F.col("spec").alias("path"), F.col("target").alias("alias"))
-    near = paths.join(paths.dirname(rel), spec)
-    ts = ts.join(found, ["capsule_dir", "path"], "left").withColumn("target", F.when(F.startswith(spec, F.lit(".")), F.when(~paths.escapes(near), near)).otherwise(F.coalesce("alias", targets.typescript_name(spec, capsule_id)))).drop("alias").filter("target is not null")
+    near = paths.let(paths.join(paths.dirname(rel), spec), lambda p: F.when(~paths.escapes(p), p))
+    ts = ts.join(found, ["capsule_dir", "path"], "left").withColumn("target", F.when(F.startswith(spec, F.lit(".")), near).otherwise(F.coalesce("alias", targets.typescript_name(spec, capsule_id)))).drop("alias").filter("target is not null")
     ts = ts.join(targets.typescript_endings(ts, existing), ["capsule_dir", "target"]).withColumn("target", F.col("file")).drop("file")
     every = out.unionByName(ts).filter("target is not null").withColumn("target_abs", paths.join(F.col("capsule_dir"), F.col("target")))
     return every.join(hidden.select(F.col("abs").alias("target_abs")), "target_abs", "left_anti")
