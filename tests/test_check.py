@@ -1,3 +1,6 @@
+import pytest
+
+from archspark.plans import report
 from archspark.plans.check import check
 from archspark.sources import files as trees
 
@@ -7,107 +10,104 @@ def contract(*lines):
 
 
 GO = {
-    "/w/.git/HEAD": "ref",
-    "/w/go.mod": "module ex.org/shop\n",
-    "/w/CONTRACT.md": contract('api["api/&ast;&ast;"]', "store[store]", "model[model]:::endophobic", "api --> model", "model --> store"),
-    "/w/api/a.go": 'package api\n\nimport (\n\t"fmt"\n\t"ex.org/shop/store"\n\tm "ex.org/shop/model"\n)\n',
-    "/w/model/m.go": 'package model\nimport "ex.org/shop/model"\n',
-    "/w/store/s.go": "package store\n",
-    "/w/other/o.go": 'package other\nimport "ex.org/shop/store"\n',
-    "/w/api/a_test.go": 'package api\nimport "ex.org/shop/other"\n',
+    "go.mod": "module ex.org/shop\n",
+    "CONTRACT.md": contract('api["api/&ast;&ast;"]', "store[store]", "model[model]:::endophobic", "api --> model", "model --> store"),
+    "api/a.go": 'package api\n\nimport (\n\t"fmt"\n\t"ex.org/shop/store"\n\tm "ex.org/shop/model"\n)\n',
+    "model/m.go": 'package model\nimport "ex.org/shop/model"\n',
+    "store/s.go": "package store\n",
+    "other/o.go": 'package other\nimport "ex.org/shop/store"\n',
+    "api/a_test.go": 'package api\nimport "ex.org/shop/other"\n',
+}
+
+#: Capsules of one tree: one check looks at all of them.
+CAPSULES = {
+    "rules": GO,
+    "syntax": GO | {"api/b.go": "package api\nimport 5\n"},
+    "unreadable": GO | {"CONTRACT.md": contract("what is this")},
+    "cross": {
+        "pubspec.yaml": "name: shop\n",
+        "CONTRACT.md": contract('ui["lib/ui/&ast;&ast;"]', 'core["lib/core/&ast;&ast;"]', "ui --> core"),
+        "lib/ui/CONTRACT.md": contract('all["&ast;&ast;"]'),
+        "lib/ui/page.dart": "import 'package:shop/core/core.dart';\nimport 'dart:io';\n",
+        "lib/core/core.dart": "import '../ui/page.dart';\n",
+    },
+    "errors": {
+        "go.mod": "module m\n",
+        "CONTRACT.md": contract("a[x]", "b[x]", 'c["x/y.go"]', 'd["../z"]', "a --> b --> a", "a --> nope"),
+        "x/x.go": "package x\n",
+    },
+    "overlap": {
+        "Cargo.toml": '[package]\nname = "shop"\n',
+        "CONTRACT.md": contract('a["src/&ast;&ast;"]', 'b["src/api"]', 'c["lib/&ast;"]', 'd["lib/x"]'),
+        "src/api/mod.rs": "use crate::core::x;\n",
+    },
+    "aliases": {
+        ".gitignore": "gen/\n!gen/keep\n",
+        "package.json": '{"name": "@x/app"}',
+        "tsconfig.json": '{"compilerOptions": {"baseUrl": "./", "paths": {"@/*": ["src/*"]}}}',
+        "CONTRACT.md": contract('ui["src/ui/&ast;&ast;"]', 'io["src/io/&ast;&ast;"]'),
+        "src/ui/a.ts": "import { b } from '@/io/b';\nimport x from '../io/b.js';\nimport g from './gen/g';\nimport r from 'react';\n",
+        "src/io/b.ts": "export const b = 1;\n",
+        "src/ui/gen/g.ts": "import '../../io/b';\n",
+    },
+    "bare": {"go.mod": "module none\n", "x/x.go": "package x\n"},
 }
 
+RELATION = " — relation not allowed (add edge in CONTRACT.md or move the file)"
+VIOLATIONS = {
+    "rules": [
+        ("endophobic", "model/m.go:2:8 (model) → model (model) — model is endophobic (CONTRACT.md)"),
+        ("import-no-node", 'other/o.go:2:8: import "ex.org/shop/store" matches no node in CONTRACT.md'),
+        ("import-not-allowed", "api/a.go:5:2 (api) → store (store)" + RELATION),
+        ("no-node", "other/o.go is tracked by CONTRACT.md but matches no node"),
+    ],
+    "cross": [("import-not-allowed", "lib/core/core.dart:1:9 (core) → lib/ui/page.dart (ui)" + RELATION)],
+    "aliases": [("import-not-allowed", f"src/ui/a.ts:{at} (ui) → src/io/b.ts (io)" + RELATION) for at in ("1:20", "2:16")],
+}
+ERRORS = {
+    "unreadable": ["unrecognized mermaid line: what is this (CONTRACT.md:5)"],
+    "errors": [
+        "c (CONTRACT.md:7) references x/y.go — file-shaped nodes require a language that supports file globs",
+        "circular dependency: a → b → a (CONTRACT.md:9)",
+        'd (CONTRACT.md:8) references ../z — ".." not allowed in node globs',
+        'edge references undefined node "nope" (CONTRACT.md:10)',
+        'glob "x" claimed by multiple nodes: a, b (CONTRACT.md:6)',
+    ],
+    "overlap": ['node "a" (CONTRACT.md:5) and node "b" (CONTRACT.md:6) overlap — file src/api/mod.rs matches both globs'],
+}
+
+
+@pytest.fixture(scope="module")
+def found(spark):
+    tree = {"/w/.git": ""} | {f"/w/{name}/{path}": text for name, files in CAPSULES.items() for path, text in files.items()}
+    return report.collect(check(trees.from_rows(spark, tree), "/w"))
+
+
+@pytest.fixture(scope="module")
+def by_name(found):
+    return {c.label.removeprefix("/w/"): (c, violations, errors) for c, violations, errors in found["capsules"]}
+
+
+@pytest.mark.parametrize("name", list(CAPSULES))
+def test_capsule(by_name, name):
+    if name == "bare":
+        assert name not in by_name
+        return
+    _, violations, errors = by_name[name]
+    short = lambda m: m.replace(f"/w/{name}/", "")
+    assert sorted((v.rule, short(v.message)) for v in violations) == VIOLATIONS.get(name, [])
+    assert sorted(short(e.message) for e in errors) == sorted(ERRORS.get(name, []))
+
+
+def test_counts(by_name):
+    numbers = lambda n: tuple(by_name[n][0][k] for k in ("files_encountered", "files_scanned", "relations", "nodes", "edges"))
+    assert numbers("rules") == (4, 3, 3, 3, 2)
+    assert numbers("errors") == (0, 0, 0, 4, 3)
+    assert "import path must be a string" in by_name["syntax"][0].source_error
+    assert report.stats(by_name["rules"][0]) == " (3 of 4 files scanned, 3 internal imports checked, graph: 3 nodes, 2 edges)"
+
 
-def run(spark, tree, root="/w"):
-    out = check(trees.from_rows(spark, tree), root)
-    return out, sorted((r.rule, r.message) for r in out.violations.collect()), sorted(r.message for r in out.errors.collect())
-
-
-def test_scope_rules(spark):
-    out, violations, errors = run(spark, GO)
-    assert errors == []
-    assert violations == sorted(
-        [
-            ("import-not-allowed", "api/a.go:5:2 (api) → store (store) — relation not allowed (add edge in /w/CONTRACT.md or move the file)"),
-            ("endophobic", "model/m.go:2:8 (model) → model (model) — model is endophobic (/w/CONTRACT.md)"),
-            ("no-node", "other/o.go is tracked by /w/CONTRACT.md but matches no node"),
-            ("import-no-node", 'other/o.go:2:8: import "ex.org/shop/store" matches no node in /w/CONTRACT.md'),
-        ]
-    )
-    row = out.capsules.collect()[0]
-    assert (row.label, row.files_encountered, row.files_scanned, row.relations, row.nodes, row.edges) == ("/w", 4, 3, 3, 3, 2)
-
-
-def test_syntax_error_voids_the_capsule(spark):
-    out, violations, _ = run(spark, GO | {"/w/api/b.go": "package api\nimport 5\n"})
-    assert violations == [] and "import path must be a string" in out.capsules.collect()[0].source_error
-
-
-def test_cross_scope(spark):
-    tree = {
-        "/w/.git/HEAD": "ref",
-        "/w/pubspec.yaml": "name: shop\n",
-        "/w/CONTRACT.md": contract('ui["lib/ui/&ast;&ast;"]', 'core["lib/core/&ast;&ast;"]', "ui --> core"),
-        "/w/lib/ui/CONTRACT.md": contract('all["&ast;&ast;"]'),
-        "/w/lib/ui/page.dart": "import 'package:shop/core/core.dart';\nimport 'dart:io';\n",
-        "/w/lib/core/core.dart": "import '../ui/page.dart';\n",
-    }
-    _, violations, errors = run(spark, tree)
-    assert errors == []
-    assert violations == [("import-not-allowed", "lib/core/core.dart:1:9 (core) → lib/ui/page.dart (ui) — relation not allowed (add edge in /w/CONTRACT.md or move the file)")]
-
-
-def test_contract_errors(spark):
-    tree = {
-        "/w/.git/HEAD": "ref",
-        "/w/go.mod": "module m\n",
-        "/w/CONTRACT.md": contract("a[x]", "b[x]", 'c["x/y.go"]', 'd["../z"]', "a --> b --> a", "a --> nope"),
-        "/w/x/x.go": "package x\n",
-    }
-    out, _, errors = run(spark, tree)
-    assert errors == sorted(
-        [
-            'c (/w/CONTRACT.md:7) references x/y.go — file-shaped nodes require a language that supports file globs',
-            'circular dependency: a → b → a (/w/CONTRACT.md:9)',
-            'd (/w/CONTRACT.md:8) references ../z — ".." not allowed in node globs',
-            'edge references undefined node "nope" (/w/CONTRACT.md:10)',
-            'glob "x" claimed by multiple nodes: a, b (/w/CONTRACT.md:6)',
-        ]
-    )
-    row = out.capsules.collect()[0]
-    assert (row.files_encountered, row.nodes, row.edges) == (0, 4, 3)
-
-
-def test_overlap_needs_a_file(spark):
-    tree = {
-        "/w/.git/HEAD": "ref",
-        "/w/Cargo.toml": '[package]\nname = "shop"\n',
-        "/w/CONTRACT.md": contract('a["src/&ast;&ast;"]', 'b["src/api"]', 'c["lib/&ast;"]', 'd["lib/x"]'),
-        "/w/src/api/mod.rs": "use crate::core::x;\n",
-    }
-    _, _, errors = run(spark, tree)
-    assert errors == ['node "a" (/w/CONTRACT.md:5) and node "b" (/w/CONTRACT.md:6) overlap — file src/api/mod.rs matches both globs']
-
-
-def test_unreadable_contract(spark):
-    _, violations, errors = run(spark, GO | {"/w/CONTRACT.md": contract("what is this")})
-    assert violations == [] and errors == ["unrecognized mermaid line: what is this (/w/CONTRACT.md:5)"]
-
-
-def test_ignored_and_aliases(spark):
-    tree = {
-        "/w/.git/HEAD": "ref",
-        "/w/.gitignore": "gen/\n!gen/keep\n",
-        "/w/package.json": '{"name": "@x/app"}',
-        "/w/tsconfig.json": '{"compilerOptions": {"baseUrl": "./", "paths": {"@/*": ["src/*"]}}}',
-        "/w/CONTRACT.md": contract('ui["src/ui/&ast;&ast;"]', 'io["src/io/&ast;&ast;"]'),
-        "/w/src/ui/a.ts": "import { b } from '@/io/b';\nimport x from '../io/b.js';\nimport g from './gen/g';\nimport r from 'react';\n",
-        "/w/src/io/b.ts": "export const b = 1;\n",
-        "/w/src/ui/gen/g.ts": "import '../../io/b';\n",
-    }
-    _, violations, errors = run(spark, tree)
-    assert errors == []
-    assert [m for _, m in violations] == [
-        "a.ts".join(["src/ui/", ":1:20 (ui) → src/io/b.ts (io) — relation not allowed (add edge in /w/CONTRACT.md or move the file)"]),
-        "a.ts".join(["src/ui/", ":2:16 (ui) → src/io/b.ts (io) — relation not allowed (add edge in /w/CONTRACT.md or move the file)"]),
-    ]
+def test_renderers(found):
+    text = report.text(found)
+    assert "✗ /w/rules (3 of 4 files scanned" in text and "    violation [no-node]: other/o.go is tracked by" in text and "✗ /w/syntax: " in text
+    assert '"FilesScanned": 3' in report.full_json(found) and report.editor_json(found).startswith('[{"rule":')
