@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows in an Arrow batch while a table is written.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,8 +38,14 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     and Spark knows their size. purge() removes what this application has left.
     """
     spark = df.sparkSession
+    # Texts are long rows: fewer of them in a batch for Python workers.
+    key, rows = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     at = f"{shared_dir(spark)}/archspark-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(at)
+    spark.conf.set(key, str(min(int(rows), BATCH_ROWS)) if int(rows) > 0 else str(BATCH_ROWS))
+    try:
+        df.write.parquet(at)
+    finally:
+        spark.conf.set(key, rows)
     return spark.read.schema(df.schema).parquet(at)
 
 
