@@ -56,3 +56,42 @@ def test_empty_tables(docs, no_docs):
     bench = no_docs.selectExpr("doc_id as item_id", "text")
     assert d.overlaps(docs, bench).collect() == []
     assert d.overlaps(no_docs, docs.selectExpr("doc_id as item_id", "text")).collect() == []
+
+
+def unseen(masks):
+    """A stretch (1: match) that reaches MIN_SCORE without a mask on its matches, if there is any."""
+    wide = (1 << max(map(len, masks))) - 1
+    seen, todo = {(0, 0)}, [(0, 0, "")]
+    while todo:
+        past, run, path = todo.pop()
+        for bit in (0, 1):
+            now, score = (past << 1 | bit) & wide, run + 1 if bit else run - d.PENALTY
+            if score <= 0 or (now, score) in seen or any(now & int(m, 2) == int(m, 2) for m in masks):
+                continue
+            if score >= d.MIN_SCORE:
+                return path + str(bit)
+            seen.add((now, score))
+            todo.append((now, score, path + str(bit)))
+    return None
+
+
+def test_masks_miss_no_stretch():
+    assert unseen(("1101100111", "1110011011")) and unseen(d.MASKS) is None
+    assert all(unseen([m for m in d.MASKS if m != x]) for x in d.MASKS)
+
+
+def test_dense_and_periodic_substitutions(spark):
+    r = random.Random(6)
+    items = {j: [f"w{j}x{i}" for i in range(n)] for j, n in enumerate((16, 25, 60, 60, 90))}
+    texts = {}
+    for j, words in items.items():
+        for period in (4, 5, 6, 7):
+            for offset in range(period):
+                texts[len(texts)] = ["s" if i % period == offset else w for i, w in enumerate(words)]
+        for share in (0.1, 0.15, 0.2, 0.25):
+            for _ in range(15):
+                texts[len(texts)] = ["p", "q"] + ["s" if r.random() < share else w for w in words] + ["p"]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(j, " ".join(t)) for j, t in items.items()], "item_id long, text string")
+    want = {(i, j): s for i, t in texts.items() for j, x in items.items() if (s := best(t, x)) >= d.MIN_SCORE}
+    assert {(x.doc_id, x.item_id): x.score for x in d.overlaps(docs, bench).collect()} == want
