@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_dedup": substrings.op8,
     "op9_near_dedup": neardup.op9,
     "op10_language_id": langid.op10,
+    "op10_language_id_pages": langid.op10_pages,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,

@@ -149,3 +149,8 @@ def identify(rows: DataFrame) -> DataFrame:
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents_as_rows(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+def op10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, by the declaration in their markup and the host and address suffix of their URL."""
+    return identify(pages_as_rows(table(spark, sf_dir, "pages"))).withColumnRenamed("id", "page_id")

@@ -95,6 +95,20 @@ def test_pages_give_markup_and_host(spark):
     assert (a.declared, a.host, a.text.split()) == ("fr-CA", "www.ex.org", ["les", "mots"]) and (b.declared, b.host, b.text) == (None, None, None)
 
 
+def test_pages_are_identified_by_markup_and_suffix(spark, tmp_path):
+    from archspark.llm.entry import QUERIES
+
+    r = random.Random(12)
+    page = lambda i, t, k, h: (i, f"https://{h}/p", f"<html{f' lang={k}' if k else ''}><p>{t}</p>")
+    rows = [page(*x) for x in language_rows(r, 300)]
+    rows += [page(1000, "la", None, "new.es"), page(1001, "la", None, "new.fr"), page(1002, "la", "es", "x.org"), page(1003, "la", "fr", "x.org"), (1004, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {x.page_id: x for x in QUERIES["op10_language_id_pages"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == sorted(x[0] for x in rows)
+    assert [got[i].declared for i in (1000, 1002, 1003, 1004)] == [None, "es", "fr", None] and not got[1004].kept
+    assert [got[i].language for i in (1002, 1003)] == ["es", "fr"]
+
+
 def test_language_empty_table(no_docs):
     assert langid.identify(langid.documents_as_rows(no_docs)).collect() == []
 
