@@ -635,6 +635,13 @@ def dump_order(spark, sf_dir):
     return dirs.select("dir", F.row_number().over(Window.orderBy(F.size(F.split("dir", "/")).desc(), "dir")).alias("position"))
 
 
+@query(f"SELECT dir, CAST(row_number() OVER (ORDER BY len(string_split(dir, '/')) DESC, dir) AS INTEGER) AS position FROM (SELECT DISTINCT regexp_replace(abs, '/[^/]*$', '') AS dir FROM ({_ABS}))")
+def dump_order_all(spark, sf_dir):
+    rows, _ = _tree(spark, sf_dir)
+    dirs = rows.select(paths.dirname("abs").alias("dir")).distinct()
+    return dirs.select("dir", F.row_number().over(Window.orderBy(F.size(F.split("dir", "/")).desc(), "dir")).alias("position"))
+
+
 _COLOURS = "[" + ", ".join(f"'{c}'" for c in PALETTES["vibrant"]) + "]"
 
 
