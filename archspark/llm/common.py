@@ -59,3 +59,20 @@ def purge(spark: SparkSession) -> None:
 def broadcast_if_small(df: DataFrame, rows: int, bound: int) -> DataFrame:
     """A broadcast hint where the counted rows are within the bound; else Spark deals both sides out by the key."""
     return F.broadcast(df) if rows <= bound else df
+
+
+#: A key above this share of the counted rows is heavy; there are at most as many of them as this number.
+HEAVY = 1000
+
+
+def join_counted(rows: DataFrame, keys: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined with keys (one row for each key, `count`: how many of rows have it, or more), no task getting a heavy key's rows.
+
+    Keys with more than a HEAVY-th of the counted rows are at most HEAVY, so they are
+    broadcast; the others are dealt out by key.
+    """
+    total = keys.agg(F.sum(count)).first()[0] or 0
+    heavy = keys.filter(F.col(count) > total / HEAVY)
+    light = keys.filter(F.col(count) <= total / HEAVY)
+    one = rows.join(F.broadcast(heavy), key)
+    return one.unionByName(rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key))

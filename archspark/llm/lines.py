@@ -10,12 +10,12 @@ leaves enough edits on either side. Candidates must keep enough of twice as many
 unchanged and are verified with banded bit-parallel edit distance (a band of
 2 * MAX_EDITS + 1 bits along the diagonal, one step a character).
 
-A key with more than CAP index entries, such as a template's, would give pairs in
-proportion to the square of its lines. For one edit these take another exact way: of what
-stands beside the segment, all forms with one character left out. Lines that agree in the
-form and the place of the gap differ by a substitution, and a line equal to another's form
-by an insertion: each group is joined as a star, not in pairs. For more edits the pairs of
-such keys are verified like others.
+With one edit, a key whose lines could make more than FEW pairs (a template's, say) takes
+candidates in proportion to its lines: of what stands beside the segment, all forms with
+one character left out. Lines that agree in the form and the place of the gap differ by a
+substitution, and a line equal to another's form by an insertion: each group is joined as a
+star. Both ways are exact, and the candidates of both are verified alike. With more edits
+all pairs of a key are candidates.
 
 A line's id is a 64-bit hash of it. Blank lines and lines shorter than LEAST (without outer
 spaces) always stay. Null text has no lines and stays null; empty text has one, blank.
@@ -27,10 +27,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import join_counted, settle, table
 from .graph import components
 
-MAX_EDITS, FUZZY, LEAST, CAP = 1, 24, 16, 256
+MAX_EDITS, FUZZY, LEAST, FEW = 1, 24, 16, 16
 #: Documents whose ids may be broadcast to pick candidate lines; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -108,37 +108,68 @@ def _lines_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def near_pairs(known: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Edges (a, b) between ids of different lines within k edits; in crowded keys stars with the same components (k = 1)."""
+    """Edges (a, b) between ids of different lines within k edits; for k = 1 enough of them for the same components."""
     longer = known.filter(F.col("n") >= FUZZY)
-    index = longer.select("id", F.explode("index").alias("x")).select("id", "x.*", F.lit(0).alias("probe"))
-    every = index.union(longer.select("id", F.explode("probes").alias("x")).select("id", "x.*", F.lit(1)))
-    edges = None
-    if k == 1:
-        crowded = settle(index.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > CAP).select("key"), "line-crowded")
-        if not crowded.isEmpty():
-            edges = _gap_edges(every.join(crowded, "key"), known, docs)
-            index, every = index.join(crowded, "key", "left_anti"), every.join(crowded, "key", "left_anti")
-    met = index.select("key", F.col("id").alias("a")).join(every.select("key", F.col("id").alias("b"), "probe"), "key").filter("a <> b and (probe = 1 or a < b)")
-    pairs = settle(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(known, "id").select("id", "first.sid", "first.no")
-    lines = _lines_of(docs, ids)
-    rows = pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(lines.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
-    near = rows.filter(enough_blocks(k)).filter(within(k)).select("a", "b")
-    return settle(near if edges is None else near.union(edges), "line-edges")
-
-
-def _gap_edges(members: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
-    """For k = 1: members (key, id, at, size) whose rests differ by one edit, as stars."""
-    members = settle(members, "line-members")
-    lines = _lines_of(docs, members.select("id").distinct().join(known, "id").select("id", "first.sid", "first.no"))
-    rest = F.expr("concat(substring(line, 1, at), '\n', substring(line, at + size + 1))")
-    rests = members.join(lines, "id").select("key", "id", rest.alias("rest")).distinct()
-    gaps = rests.select("key", "id", F.xxhash64("rest").alias("own"), F.explode(F.expr("transform(sequence(1, length(rest)), i -> named_struct('place', i, 'form', if(substring(rest, i, 1) = '\n', null, xxhash64(concat(substring(rest, 1, i - 1), substring(rest, i + 1))))))")).alias("g")).select("key", "id", "g.*").filter("form is not null")
-    by_place = gaps.groupBy("key", "form", "place").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    same = gaps.join(by_place, ["key", "form", "place"]).select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    whole = rests.select("key", F.xxhash64("rest").alias("form"), F.col("id").alias("a"))
+    entries = longer.select("id", F.explode("index").alias("x")).select("id", "x.*", F.lit(0).alias("probe"))
+    entries = entries.union(longer.select("id", F.explode("probes").alias("x")).select("id", "x.*", F.lit(1)))
+    keys = entries.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.sum(1 - F.col("probe")).alias("indexed"))
+    keys = settle(keys.filter("indexed > 0 and all > 1"), "line-keys")
+    members = settle(join_counted(entries, keys, "key", "all"), "line-members")
+    few = members.filter(F.col("all") * F.col("indexed") <= FEW) if k == 1 else members
+    met = few.filter("probe = 0").select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b"), "probe"), "key").filter("a <> b and (probe = 1 or a < b)")
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    crowded = members.filter(F.col("all") * F.col("indexed") > FEW).select("key", "id", "at", "size") if k == 1 else None
+    texts = _lines_of(docs, members.select("id").distinct().join(known, "id").select("id", "first.sid", "first.no"))
+    if crowded is not None:
+        met = met.union(gap_pairs(crowded.join(texts, "id")))
+    pairs = settle(met.distinct(), "line-pairs")
+    rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
+    return settle(rows.filter(enough_blocks(k)).filter(within(k)).select("a", "b"), "line-edges")
+
+
+def gap_forms(rest: str = "rest") -> Column:
+    """Of `rest`, UTF-32, array<(place, form)>: the hash of rest without the character at each place.
+
+    A form is cut into blocks of about the square root of its length, whose hashes are
+    combined; a gap changes one of them, so a line of n characters takes n ** 1.5 steps.
+    """
+    block = lambda c, at, n="4 * s.size": f"xxhash64({c}, substring(s.rest, cast({at} as int), cast({n} as int)))"
+    xor = lambda part: f"aggregate({part}, 0L, (x, y) -> x ^ y)"
+    shape = f"named_struct('rest', {rest}, 'n', length({rest}) div 4, 'size', cast(ceil(sqrt(greatest(length({rest}) div 4 - 1, 1))) as int))"
+    blocks = f"""transform(array({shape}), s -> named_struct('rest', s.rest, 'n', s.n, 'size', s.size, 'blocks', cast(ceil((s.n - 1) / s.size) as int),
+        'same', transform(sequence(0, cast(ceil((s.n - 1) / s.size) as int)), c -> {block("c", "4 * c * s.size + 1")}),
+        'moved', transform(sequence(0, cast(ceil((s.n - 1) / s.size) as int)), c -> {block("c", "4 * c * s.size + 5")})))"""
+    sums = f"""transform({blocks}, s -> named_struct('rest', s.rest, 'n', s.n, 'size', s.size, 'blocks', s.blocks,
+        'ahead', transform(sequence(0, s.blocks), c -> {xor("slice(s.same, 1, c)")}),
+        'behind', transform(sequence(0, s.blocks), c -> {xor("slice(s.moved, c + 2, greatest(s.blocks - c - 1, 0))")})))"""
+    gap = "cast(i div s.size as int)"
+    own = f"xxhash64({gap}, concat(substring(s.rest, cast(4 * {gap} * s.size + 1 as int), cast(4 * (i - {gap} * s.size) as int)), substring(s.rest, cast(4 * i + 5 as int), cast(4 * (s.size - (i - {gap} * s.size)) as int))))"
+    return F.expr(f"transform({sums}, s -> transform(sequence(0, s.n - 1), i -> named_struct('place', i, 'form', if({gap} < s.blocks, s.ahead[{gap}] ^ s.behind[{gap}] ^ {own}, s.ahead[s.blocks]))))[0]")
+
+
+def whole_form(rest: str = "rest") -> Column:
+    """The hash of `rest` itself, made as those of forms of its length."""
+    size = f"cast(ceil(sqrt(greatest(length({rest}) div 4, 1))) as int)"
+    return F.expr(f"transform(array({size}), s -> aggregate(sequence(0, cast(greatest(ceil(length({rest}) / 4 / s) - 1, 0) as int)), 0L, (x, c) -> x ^ xxhash64(c, substring({rest}, cast(4 * c * s + 1 as int), cast(4 * s as int)))))[0]")
+
+
+def gap_pairs(members: DataFrame) -> DataFrame:
+    """For one edit: key, id, at, size, line -> pairs (a, b) that join all lines of a key whose rests are one edit apart.
+
+    A substitution leaves the same form with the gap at the same place: such lines are all
+    one substitution apart, and each meets the smallest id. An insertion leaves a form that
+    is the whole of the shorter line's rest. No pair is emitted that isn't one or the other.
+    """
+    wide = "encode(line, 'UTF-32')"
+    # A line break, which no line holds, stands for the segment.
+    rest = F.expr(f"concat(substring({wide}, 1, 4 * at), encode('\n', 'UTF-32'), substring({wide}, 4 * (at + size) + 1))")
+    rests = settle(members.select("key", "id", "at", rest.alias("rest")).distinct(), "line-rests")
+    gaps = rests.select("key", "id", "at", F.explode(gap_forms()).alias("g")).select("key", "id", "at", "g.*").filter("place <> at").drop("at")
+    hubs = gaps.groupBy("key", "form", "place").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    same = gaps.join(hubs, ["key", "form", "place"]).select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    whole = rests.select("key", whole_form().alias("form"), F.col("id").alias("a"))
     shorter = gaps.select("key", "form", F.col("id").alias("b")).join(whole, ["key", "form"]).select("a", "b")
-    return settle(same.union(shorter).filter("a <> b").distinct(), "line-gap-edges")
+    return same.union(shorter).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def surplus(docs: DataFrame, k: int = MAX_EDITS) -> DataFrame:
