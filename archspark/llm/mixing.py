@@ -14,7 +14,9 @@ what grows with the documents is only dealt out by (source, block).
 
 Null text has size 0. A null source is a source of its own, last in the order. Documents
 of size 0 are never taken and appear with taken 0. An empty table gives no rows. Equal
-doc_ids are dealt with row by row.
+doc_ids are dealt with row by row: the random order depends on doc_id and text, so rows
+without a doc_id spread like others and only equal rows tie, whose places are one as good
+as the other. Results don't depend on how the input is partitioned.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ WEIGHTS, CAP, SHARDS, SEED = (5, 2, 1), 3, 16, "mix-1"
 
 def sizes(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """doc_id, source, size, perm (random order), block (the first digits of perm)."""
-    perm = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"/{seed}")).cast("binary"))
+    own = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    perm = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"/{seed}/"), own).cast("binary"))
     return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), perm.alias("perm")).withColumn("block", F.substring("perm", 1, 3))
 
 
@@ -130,7 +133,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/mix-1') AS perm
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/mix-1/' || md5(coalesce(text, ''))) AS perm
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS source_no FROM d GROUP BY source),

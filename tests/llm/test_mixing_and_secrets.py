@@ -48,6 +48,15 @@ def test_excess_is_shared_again(spark):
     assert all(abs(r.target - want[r.source]) < 1e-6 * max(1, want[r.source]) for r in got)
 
 
+def test_reruns_agree(spark):
+    """Equal and null ids with different texts, in any partitioning."""
+    rows = [(i % 9 if i % 4 else None, "w " * (10 + 7 * i % 190) + str(i), "ab"[i % 2]) for i in range(49)] + [(3, "same text", "a")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = lambda n: sorted(map(str, mixing.plan(df.repartition(n)).select("doc_id", "size", "source", mixing.taken()).collect()))
+    one = taken(1)
+    assert all(taken(n) == one for n in (2, 3, 5))
+
+
 def test_splitting_tree(spark):
     quotas = {0: 40, 1: 7, 2: 0, 3: 153}
     df = spark.createDataFrame(list(quotas.items()), "source_no int, quota long")
