@@ -3,11 +3,15 @@
 Texts become lower-case words joined by single spaces. A notice that may have k edits is
 split into k + 1 pieces, one of which any match must hold unchanged (pigeonhole); one
 automaton finds all pieces of all notices, the windows around the hits are candidates, and
-the regex library's bounded-error matching verifies them and gives span and edits. Base
-notices count where their words stand unchanged as whole words.
+the regex library's bounded-error matching verifies them and gives span and edits: from
+left to right, each match tightened to the best one that begins where it stands, and the
+search goes on behind that. Base notices count where their words stand unchanged as whole
+words.
 
 Null and empty texts have no words and no findings. Rows are independent: repeated rows
-and doc_ids give repeated results.
+and doc_ids give repeated results. Of findings at one place the order is by end, label,
+base before others and edits. Very long texts are searched whole, each window by itself.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -64,7 +68,17 @@ def scanner(base: tuple = BASE, notices: tuple = NOTICES) -> Callable[..., Itera
     for piece, of in found_by.items():
         seeds.add_word(piece, (len(piece), of))
     seeds.make_automaton()
-    fuzzy = [regex.compile(f"(?b)(?:{regex.escape(form, literal_spaces=True)}){{e<={k}}}") for form, _, k, _ in forms]
+    # Leftmost matching loses none; the best match within reach of it gives span and edits.
+    within = [f"(?:{regex.escape(form, literal_spaces=True)}){{e<={k}}}" for form, _, k, _ in forms]
+    first, best = [regex.compile(p) for p in within], [regex.compile(f"(?b){p}") for p in within]
+
+    def fuzzy(i: int, text: str, lo: int, hi: int) -> Iterator[regex.Match]:
+        form, _, k, _ = forms[i]
+        while (m := first[i].search(text, lo, hi)) is not None:
+            m = best[i].search(text, m.start(), min(hi, max(m.end(), m.start() + len(form) + 2 * k))) or m
+            yield m
+            # The space behind a notice may be the one before the next.
+            lo = max(m.end() - 1, m.start() + 1)
 
     def windows(text: str) -> dict[int, list[list[int]]]:
         """For each form, disjoint stretches of text that hold all its matches."""
@@ -94,7 +108,7 @@ def scanner(base: tuple = BASE, notices: tuple = NOTICES) -> Callable[..., Itera
                         spans.append((at, at + len(form), label, True, 0, form))
                         at = joined.find(form, at + 1, hi)
                     continue
-                for m in fuzzy[i].finditer(joined, lo, hi):
+                for m in fuzzy(i, joined, lo, hi):
                     spans.append((m.start(), m.end(), label, False, sum(m.fuzzy_counts), m.group()))
         exact = {(label, at) for at, _, label, is_base, _, _ in spans if is_base}
         findings, at, n = [], 0, 0

@@ -47,6 +47,15 @@ def test_hysteresis_holds_between_thresholds():
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
+def test_licenses_weaker_matches_before_a_better_one():
+    notices = (("general public license", "gpl", 2),)
+    row = licenses.scanner(base=(), notices=notices)
+    spans = lambda text: [(f["start_word"], f["end_word"], f["edits"]) for f in next(row(1, text))[2]]
+    assert spans("generel public licence general public license x generel public licence") == [(0, 2, 2), (3, 5, 0), (7, 9, 2)]
+    assert spans("the general publc license general public license xx") == [(1, 3, 1), (4, 6, 0)]
+    assert spans("general public license general public license") == [(0, 2, 0), (3, 5, 0)]
+
+
 def test_licenses_base_and_fuzzy(spark):
     r = random.Random(9)
     parts = ["CC BY", "cc-by", "ccby", "General Public\nLicense", "all rights  reserved", "generel public license", "foo", "été", "x9", "mozila public licence", "general public licensed", "cc cc by by"]
