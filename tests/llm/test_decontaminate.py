@@ -33,10 +33,11 @@ def test_planted_passages(spark):
     texts[33] = " ".join(items[0].split()[:9])  # not enough
     texts[34], texts[35], texts[36] = None, "", items[1]
     texts[37] = "seven words only in that short item"
+    texts[38] = "one is Too  short; the other one isn't"
     docs = spark.createDataFrame([(i, t, "z", 0) for i, t in texts.items()] + [(36, items[1], "z", 0)], "doc_id long, text string, words string, h int")
     bench = spark.createDataFrame([(i, t, "q") for i, t in items.items()], "item_id long, text string, item string")
     got = {(x.doc_id, x.item_id): (x.score, x.matched, x.first_token, x.last_token) for x in d.overlaps(docs, bench).collect()}
-    assert got == {(30, 0): (30, 30, 10, 39), (31, 2): (50 - 3 * 3, 47, 0, 49), (32, 3): (7, 7, 1, 7), (36, 1): (14, 14, 0, 13)}
+    assert got == {(30, 0): (30, 30, 10, 39), (31, 2): (50 - 3 * 3, 47, 0, 49), (32, 3): (7, 7, 1, 7), (36, 1): (14, 14, 0, 13), (38, 4): (2, 2, 2, 3)}
     for (i, j), (score, *_) in got.items():
         assert score == best(tokens(texts[i]), tokens(items[j]))
     for i, t in texts.items():
@@ -95,3 +96,16 @@ def test_dense_and_periodic_substitutions(spark):
     bench = spark.createDataFrame([(j, " ".join(t)) for j, t in items.items()], "item_id long, text string")
     want = {(i, j): s for i, t in texts.items() for j, x in items.items() if (s := best(t, x)) >= d.MIN_SCORE}
     assert {(x.doc_id, x.item_id): x.score for x in d.overlaps(docs, bench).collect()} == want
+
+
+def test_rows_and_items_that_share_an_id(spark):
+    r = random.Random(14)
+    item, other = sentence(r, 30), sentence(r, 20)
+    weak = " ".join(item.split()[:12]) + " " + sentence(r, 18)
+    for docs in ([(1, item), (1, weak), (None, weak), (None, item), (2, sentence(r, 40))], [(1, weak), (None, item), (1, item), (None, weak)]):
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+        bench = spark.createDataFrame([(5, item), (5, other), (None, item)], "item_id long, text string")
+        got = {(x.doc_id, x.item_id): x.score for x in d.overlaps(df, bench).collect()}
+        assert got == {(1, 5): 30, (1, None): 30, (None, 5): 30, (None, None): 30}
+        rows = {(x.sid, x.score) for x in d.overlapping_rows(df, bench).collect()}
+        assert len({s for s, _ in rows}) == 4
