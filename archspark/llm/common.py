@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where it is unset (tests on one machine) a local one."""
+    """The folder in spark.checkpoint.dir; where it is unset, a local one on a single machine and an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = Path(tempfile.gettempdir(), "archspark-checkpoints").as_uri()
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -35,18 +39,28 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back.
 
     The plan that follows starts from files that survive the loss of any executor,
-    and Spark knows their size. purge() removes what this application has left.
+    and Spark knows their size. They go with the application, or before with purge().
     """
     spark = df.sparkSession
-    # Texts are long rows: fewer of them in a batch for Python workers.
-    key, rows = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    at = f"{shared_dir(spark)}/archspark-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
+    home = f"{shared_dir(spark)}/archspark-{spark.sparkContext.applicationId}"
+    at = f"{home}/{tag}-{uuid.uuid4().hex[:12]}"
+    with small_batches(spark):
+        df.write.parquet(at)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(home)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Texts are long rows: fewer of them in a batch for Python workers, in what runs meanwhile."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = spark.conf.get(key, "10000")
     spark.conf.set(key, str(min(int(rows), BATCH_ROWS)) if int(rows) > 0 else str(BATCH_ROWS))
     try:
-        df.write.parquet(at)
+        yield
     finally:
         spark.conf.set(key, rows)
-    return spark.read.schema(df.schema).parquet(at)
 
 
 def purge(spark: SparkSession) -> None:

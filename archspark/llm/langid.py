@@ -1,16 +1,19 @@
 """Language ID by Bayesian fusion of evidence.
 
 For a text, the likelihood under each language comes from hashed byte trigrams counted
-over all documents that declare the language (one pass; LANGUAGES x BUCKETS sums, whatever
-the input's size). Its weight is held to EVIDENCE trigrams, as neighbouring trigrams say
-the same. With it go P(declared language | language), from how texts and declarations
+over the documents that declare the language (one pass; FOLDS x LANGUAGES x BUCKETS sums,
+whatever the input's size). Texts fall into FOLDS by their hash and a text is scored by
+what the other folds hold, so neither its own declaration nor that of its copies speaks
+through its text as well. Its weight is held to EVIDENCE trigrams, as neighbouring
+trigrams say the same. With it go P(declared language | language), from how texts and declarations
 agree over the whole table, and a prior for the host, smoothed by the address suffix it
 ends with, which is smoothed by all rows; both come from grouped sums. `und` competes as
 the even distribution over buckets.
 
 Null and empty texts, and texts without letters, are `und` and not kept. A null or unknown
 declaration says nothing; a null host has the prior of all rows. Rows are independent but
-for the sums; repeated rows count as often as they occur. Empty tables give no rows.
+for the sums; repeated rows count as often as they occur. Of equally likely languages the
+first in the order of LANGUAGES is returned, `und` last. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import slices
-from .common import broadcast_if_small, settle, table
+from .common import broadcast_if_small, settle, small_batches, table
 
 LANGUAGES, UNKNOWN = ("de", "en", "es", "fr"), "und"
-BUCKETS, EVIDENCE, SMOOTH = 1 << 14, 40, 0.5
+BUCKETS, EVIDENCE, SMOOTH, FOLDS = 1 << 14, 40, 0.5, 4
 SUFFIX_WEIGHT, HOST_WEIGHT, DECLARED_WEIGHT, UNKNOWN_PRIOR, MIN_CONFIDENCE = 20.0, 10.0, 10.0, 1e-3, 0.5
 #: Hosts whose priors may be broadcast (some 100 bytes each); above, they are joined by shuffle.
 BROADCAST_HOSTS = 100_000
@@ -76,44 +79,56 @@ def documents_as_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
 
 
+def fold_of(text: Column) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int")
+
+
 def train(rows: DataFrame) -> np.ndarray:
-    """(languages + 1, BUCKETS) log probabilities, the last row the even distribution."""
+    """(FOLDS, languages + 1, BUCKETS) log probabilities from the texts of other folds, the last row of each the even distribution."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(LANGUAGES), BUCKETS), np.int64)
+        sums = np.zeros((FOLDS * len(LANGUAGES), BUCKETS), np.int64)
         for batch in batches:
             for part in slices(batch):
-                texts = part.column(0).to_pylist()
-                languages = part.column(1).to_pylist()
-                for k, language in enumerate(LANGUAGES):
-                    code, _ = trigrams([t for t, x in zip(texts, languages, strict=True) if x == language])
+                texts, kind = part.column("text").to_pylist(), part.column("k").to_numpy()
+                for k in np.unique(kind):
+                    code, _ = trigrams([texts[i] for i in np.flatnonzero(kind == k)])
                     sums[k] += np.bincount(code[code >= 0], minlength=BUCKETS)
         k, bucket = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(sums[k, bucket])], names=["k", "bucket", "n"])
 
-    known = rows.select("text", declared_language(F.col("declared")).alias("language")).filter("language is not null and text is not null")
-    sums = np.full((len(LANGUAGES), BUCKETS), SMOOTH)
-    for k, bucket, n in known.mapInArrow(count, "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).collect():  # LANGUAGES x BUCKETS rows at most
-        sums[k, bucket] += n
-    model = np.log(sums / sums.sum(1, keepdims=True))
-    return np.vstack([model, np.full(BUCKETS, -np.log(BUCKETS))]).astype(np.float32)
+    language = F.array_position(F.array(*map(F.lit, LANGUAGES)), declared_language(F.col("declared"))).cast("int") - 1
+    known = rows.select("text", (fold_of(F.col("text")) * len(LANGUAGES) + language).alias("k")).filter("k is not null and text is not null")
+    own = np.zeros((FOLDS, len(LANGUAGES), BUCKETS))
+    with small_batches(rows.sparkSession):
+        counted = known.mapInArrow(count, "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toPandas()  # FOLDS x LANGUAGES x BUCKETS rows at most
+    own.reshape(-1, BUCKETS)[counted["k"], counted["bucket"]] = counted["n"]
+    sums = own.sum(0) - own + SMOOTH
+    model = np.log(sums / sums.sum(2, keepdims=True))
+    return np.concatenate([model, np.full((FOLDS, 1, BUCKETS), -np.log(BUCKETS))], 1).astype(np.float32)
 
 
 def likelihoods(rows: DataFrame, model: np.ndarray) -> DataFrame:
     """id, declared, host, n (trigrams), score (for each language and und, null without a trigram)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.vstack([model.T, np.zeros((1, len(model)), np.float32)])  # the last for -1
+        folds, kinds, _ = model.shape
+        table = np.zeros((folds, BUCKETS + 1, kinds), np.float32)  # the last of each for -1
+        table[:, :BUCKETS] = model.transpose(0, 2, 1)
+        table = table.reshape(-1, kinds)
         for batch in batches:
             for part in slices(batch):
                 code, offsets = trigrams(part.column("text").to_pylist())
                 n = np.add.reduceat((code >= 0).astype(np.int64), offsets)
-                total = np.stack([np.add.reduceat(np.take(table[:, k], code).astype(np.float64), offsets) for k in range(len(model))], 1)
+                # Each text looks up its fold's rows.
+                code[code < 0] = BUCKETS
+                code += np.repeat(part.column("fold").to_numpy() * (BUCKETS + 1), np.diff(np.append(offsets, len(code)))).astype(np.int32)
+                total = np.stack([np.add.reduceat(np.take(table[:, k], code).astype(np.float64), offsets) for k in range(kinds)], 1)
                 score = total * (np.minimum(n, EVIDENCE) / np.maximum(n, 1))[:, None]
                 lists = pa.array([s if m else None for s, m in zip(score.tolist(), n.tolist(), strict=True)], pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("declared"), part.column("host"), pa.array(n), lists], names=["id", "declared", "host", "n", "score"])
 
-    rows = rows.select(F.col("id").cast("long"), "text", declared_language(F.col("declared")).alias("declared"), F.lower("host").alias("host"))
+    rows = rows.select(F.col("id").cast("long"), "text", fold_of(F.col("text")).alias("fold"), declared_language(F.col("declared")).alias("declared"), F.lower("host").alias("host"))
     return rows.mapInArrow(run, "id long, declared string, host string, n long, score array<double>")
 
 
