@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import map_rows, slices
-from .common import settle, table
+from .common import join_counted, settle, table
 from .neardup import _powers
 
 LENGTH, GRAM = 200, 32
@@ -181,10 +181,10 @@ def _hashed_windows(rows: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """sid, text -> sid, start, stop: byte spans, overlapping as they come, whose union is what is repeated."""
-    every = _all_runs(docs)
+    every = settle(_all_runs(docs), "sub-every")
     # Anchors that occur more than once; where all their runs are equal, that settles them.
-    anchors = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least"), F.max("key").alias("most")).filter("n > 1").select("anchor", (F.col("least") == F.col("most")).alias("equal"))
-    found = settle(every.join(anchors, "anchor"), "sub-runs")
+    anchors = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least"), F.max("key").alias("most")).filter("n > 1").select("anchor", "n", (F.col("least") == F.col("most")).alias("equal"))
+    found = settle(join_counted(every, settle(anchors, "sub-anchors"), "anchor", "n").drop("n"), "sub-runs")
     whole = lambda rows: rows.select("sid", F.col("lo").alias("start"), (F.col("hi") + LENGTH).alias("stop"))
     mixed = found.filter("not equal")
     kinds = settle(mixed.groupBy("anchor", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("sid", "lo", "hi", "at")).alias("one")), "sub-kinds")
