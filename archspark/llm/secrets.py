@@ -113,7 +113,7 @@ def fit(rows: DataFrame) -> PipelineModel:
 
 def scan(docs: DataFrame, labels: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, text, source -> doc_id, path, start, candidate, before, after, score: the findings at or above the threshold."""
-    model = fit(labelled(docs.sparkSession) if labels is None else labels.limit(LABELLED))
+    model = fit(labelled(docs.sparkSession) if labels is None else labels.orderBy(F.xxhash64("candidate", "before", "after", "path", "label")).limit(LABELLED))
     scored = model.transform(features(candidates(docs))).withColumn("score", F.round(vector_to_array("probability")[1], 4))
     return scored.filter(F.col("score") >= threshold).select("doc_id", "path", "start", "candidate", "before", "after", "score")
 
