@@ -11,11 +11,21 @@ from pyspark.sql import functions as F
 from . import recognise
 
 # Where Kotlin sources live, in the order of preference, and where generated ones do.
-KOTLIN_MAIN = "src/main/kotlin src/main/java src/jvmMain/kotlin src/jvmMain/java src/commonMain/kotlin src/androidMain/kotlin src/androidUnitTest/kotlin src/iosMain/kotlin src/iosArm64Main/kotlin src/iosSimulatorArm64Main/kotlin src/macosMain/kotlin src/macosX64Main/kotlin src/macosArm64Main/kotlin src/linuxMain/kotlin src/linuxX64Main/kotlin src/darwinMain/kotlin src/nativeMain/kotlin src/jsMain/kotlin src/mingwMain/kotlin src/mingwX64Main/kotlin".split()
+KOTLIN_MAIN = (
+    "src/main/kotlin", "src/main/java", "src/jvmMain/kotlin", "src/jvmMain/java", "src/commonMain/kotlin", "src/androidMain/kotlin",
+    "src/androidUnitTest/kotlin", "src/iosMain/kotlin", "src/iosArm64Main/kotlin", "src/iosSimulatorArm64Main/kotlin", "src/macosMain/kotlin", "src/macosX64Main/kotlin",
+    "src/macosArm64Main/kotlin", "src/linuxMain/kotlin", "src/linuxX64Main/kotlin", "src/darwinMain/kotlin", "src/nativeMain/kotlin", "src/jsMain/kotlin",
+    "src/mingwMain/kotlin", "src/mingwX64Main/kotlin",
+)
 KOTLIN_PREFIXES = (
-    "src/main/kotlin src/main/java src/jvmMain/kotlin src/jvmMain/java src/jvmTest/kotlin src/commonMain/kotlin src/commonTest/kotlin src/androidMain/kotlin src/androidUnitTest/kotlin src/androidAndroidTest/kotlin src/androidInstrumentedTest/kotlin src/iosMain/kotlin src/iosTest/kotlin src/iosArm64Main/kotlin src/iosArm64Test/kotlin src/iosSimulatorArm64Main/kotlin src/iosSimulatorArm64Test/kotlin "
-    "src/macosMain/kotlin src/macosTest/kotlin src/macosX64Main/kotlin src/macosX64Test/kotlin src/macosArm64Main/kotlin src/macosArm64Test/kotlin src/linuxMain/kotlin src/linuxTest/kotlin src/linuxX64Main/kotlin src/linuxX64Test/kotlin src/darwinMain/kotlin src/darwinTest/kotlin src/nativeMain/kotlin src/nativeTest/kotlin src/jsMain/kotlin src/jsTest/kotlin src/mingwMain/kotlin src/mingwTest/kotlin src/mingwX64Main/kotlin src/mingwX64Test/kotlin"
-).split()
+    "src/main/kotlin", "src/main/java", "src/jvmMain/kotlin", "src/jvmMain/java", "src/jvmTest/kotlin", "src/commonMain/kotlin",
+    "src/commonTest/kotlin", "src/androidMain/kotlin", "src/androidUnitTest/kotlin", "src/androidAndroidTest/kotlin", "src/androidInstrumentedTest/kotlin", "src/iosMain/kotlin",
+    "src/iosTest/kotlin", "src/iosArm64Main/kotlin", "src/iosArm64Test/kotlin", "src/iosSimulatorArm64Main/kotlin", "src/iosSimulatorArm64Test/kotlin", "src/macosMain/kotlin",
+    "src/macosTest/kotlin", "src/macosX64Main/kotlin", "src/macosX64Test/kotlin", "src/macosArm64Main/kotlin", "src/macosArm64Test/kotlin", "src/linuxMain/kotlin",
+    "src/linuxTest/kotlin", "src/linuxX64Main/kotlin", "src/linuxX64Test/kotlin", "src/darwinMain/kotlin", "src/darwinTest/kotlin", "src/nativeMain/kotlin",
+    "src/nativeTest/kotlin", "src/jsMain/kotlin", "src/jsTest/kotlin", "src/mingwMain/kotlin", "src/mingwTest/kotlin", "src/mingwX64Main/kotlin",
+    "src/mingwX64Test/kotlin",
+)
 KOTLIN_GENERATED = ("/generated/", "/kapt/", "/ksp/", "/buildSrc/")
 #: Ignored at any depth in every repository.
 ALWAYS_IGNORED = (".git", ".hg", ".svn", ".idea", ".vscode", ".vs", "coverage")
