@@ -98,7 +98,10 @@ def main(argv: list[str] | None = None, spark=None) -> int:
 
 
 def _above(spark, root: str, trees):
-    """The tree below root, and from the directories above it what names capsules, contracts and ignore rules."""
+    """The tree below root, and from the directories above it what names capsules, contracts and ignore rules.
+
+    Files of environment variables (.env and .env.*) there are none of these and aren't read.
+    """
     files = trees.read_tree(spark, root)
     extra = {}
     up = os.path.dirname(root)
@@ -111,7 +114,7 @@ def _above(spark, root: str, trees):
         up = os.path.dirname(up)
     if os.path.exists(f"{root}/.git"):
         extra[f"{root}/.git"] = b""
-    rows = [(p, False, c) for p, c in sorted(extra.items()) if len(c) < 1 << 20]
+    rows = [(p, False, c) for p, c in sorted(extra.items())]
     return files.unionByName(spark.createDataFrame(rows, trees.FILES)) if rows else files
 
 

@@ -72,31 +72,6 @@ def overlapping(nodes: DataFrame, files: DataFrame) -> DataFrame:
     return found.select("contract", F.lit("node-overlap").alias("rule"), F.concat(one("a"), F.lit(" and "), one("b"), F.lit(" overlap — file "), F.col("witness"), F.lit(" matches both globs")).alias("message"), F.col("line_a").alias("line"))
 
 
-def cycle_members(edges: DataFrame) -> DataFrame:
-    """(contract, node_id) of all nodes on a cycle, by trimming nodes without an edge in or out until none goes, then by reach.
-
-    Trimming ends in as many rounds as the longest tail; what is left are cycles and paths
-    between them, which paths doubled in length tell apart.
-    """
-    own = edges.select("contract", "src", "dst").distinct()
-    n = -1
-    while True:
-        own = own.join(own.select("contract", F.col("dst").alias("src")).distinct(), ["contract", "src"], "left_semi")
-        own = own.join(own.select("contract", F.col("src").alias("dst")).distinct(), ["contract", "dst"], "left_semi").select("contract", "src", "dst")
-        own = cut(own)
-        m = own.count()
-        if m == n:
-            break
-        n = m
-    reach = own
-    while True:
-        step = reach.alias("x").join(reach.alias("y"), (F.col("x.contract") == F.col("y.contract")) & (F.col("x.dst") == F.col("y.src"))).select("x.contract", "x.src", "y.dst")
-        more = cut(reach.union(step).distinct())
-        if more.count() == reach.count():
-            return reach.filter("src = dst").select("contract", F.col("src").alias("node_id")).distinct()
-        reach = more
-
-
 def _depth_first(part: pd.DataFrame) -> Iterator[tuple[str, int]]:
     """Every edge back into the current path closes a cycle; nodes and neighbours in order."""
     line_of = {(r.src, r.dst): int(r.line) for r in part.itertuples() if r.dst is not None}

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import globs
 
 #: Nodes over the paths of pages, and the edges allowed between them.
 NODES = (("root", "."), ("en", "en/**"), ("french", "fr/**"), ("german", "de/**"), ("german_pages", "de/*.html"), ("spanish", "es"), ("ones", "en/1*"), ("capital", "T*"), ("deep", "a*/b*c/**"), ("short", "an"))
@@ -63,16 +62,12 @@ def edges(spark: SparkSession, rows: tuple = EDGES, contract: str = "pages") ->
     return spark.createDataFrame([(contract, a, b, i + 1) for i, (a, b) in enumerate(rows)], "contract string, src string, dst string, line int")
 
 
-def _weight(glob: str) -> int:
-    return 0 if glob in ("", ".") else sum(1 if s == "**" else 3 if "*" in s else 10 for s in glob.split("/"))
-
-
-def _file(glob: str) -> bool:
-    last = glob.rsplit("/", 1)[-1]
-    return "." in last and last not in (".", "..")
-
-
-NODES_SQL = "SELECT * FROM " + values("node_id, pat, rx, is_file, weight, endophobic", [(i, g, globs.regex_of(g), _file(g), _weight(g), i in ENDOPHOBIC) for i, g in NODES])
+#: What the globs of NODES mean, stated for SQL: pattern, whether it is a file's, specificity.
+MEANT = {
+    "root": (r"^\.$", False, 0), "en": (r"^en($|/)", False, 11), "french": (r"^fr($|/)", False, 11), "german": (r"^de($|/)", False, 11), "german_pages": (r"^de/[^/]*\.html$", True, 13),
+    "spanish": ("^es$", False, 10), "ones": ("^en/1[^/]*$", False, 13), "capital": ("^T[^/]*$", False, 3), "deep": ("^a[^/]*/b[^/]*c/", False, 7), "short": ("^an$", False, 10),
+}
+NODES_SQL = "SELECT * FROM " + values("node_id, pat, rx, is_file, weight, endophobic", [(i, g, *MEANT[i], i in ENDOPHOBIC) for i, g in NODES])
 EDGES_SQL = "SELECT * FROM " + values("src, dst", EDGES)
 KEY_SQL = "CASE WHEN instr({0}, '.') = 0 THEN {0} WHEN instr({0}, '/') = 0 THEN '.' ELSE regexp_replace({0}, '/[^/]*$', '') END"
 

@@ -64,7 +64,8 @@ def _aliases(caps: DataFrame, files: DataFrame) -> DataFrame:
         every = read if every is None else every.unionByName(read)
         e = F.col("c.extends")
         target = F.when(F.startswith(e, F.lit("/")), e).otherwise(F.concat("at", F.lit("/node_modules/"), e, F.lit("/tsconfig.json")))
-        step = read.filter("c.extends <> '' and depth < 8").select("capsule_dir", paths.clean(target).alias("config"), (F.col("depth") + 1).alias("depth")).withColumn("at", paths.dirname("config"))
+        step = read.filter("c.extends <> ''").select("capsule_dir", paths.clean(target).alias("config"), (F.col("depth") + 1).alias("depth")).withColumn("at", paths.dirname("config"))
+        step = step.join(every.select("capsule_dir", "config"), ["capsule_dir", "config"], "left_anti")  # a ring ends here
     base = every.filter("c.compilerOptions.baseUrl <> ''").groupBy("capsule_dir").agg(F.min_by(F.regexp_replace("c.compilerOptions.baseUrl", "/$", ""), "depth").alias("base_url"))
     pairs = every.select("capsule_dir", "depth", F.explode("c.compilerOptions.paths").alias("pattern", "replacements")).groupBy("capsule_dir", "pattern").agg(F.min_by("replacements", "depth").alias("replacements"))
     return pairs.filter(F.size("replacements") > 0).join(base, "capsule_dir", "left")

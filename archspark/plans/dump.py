@@ -6,14 +6,13 @@ import posixpath
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..languages import Language, resolve_languages, scannable
 from ..operators import validate
-from ..operators.match import match_nodes
-from ..schema import CONTRACT_FILE, palette
+from ..schema import CONTRACT_FILE
 from ..sources import contracts as contract_files
 from ..sources import discover, files as trees
 from ..sources.contracts import Contract
@@ -36,7 +35,7 @@ def draft(files: DataFrame, relations: DataFrame, file_globs: bool, merge: bool,
     merged = merged.filter(~F.col("dir").isin(*expanded)) if merge and (expanded := list(expanded)) else merged if merge else merged.limit(0)
 
     def named(rows: DataFrame, column: str, name: str) -> DataFrame:
-        own = rows.withColumn("dir", paths.dirname(column)).join(F.broadcast(merged), "dir", "left")
+        own = rows.withColumn("dir", paths.dirname(column)).join(merged, "dir", "left")
         plain = paths.node_key(column, file_globs)
         return own.withColumn(name, F.when(F.col("glob").isNotNull(), paths.node_key("dir")).otherwise(plain)).withColumn(f"{name}_glob", F.coalesce("glob", plain)).drop("dir", "glob")
 
@@ -46,26 +45,9 @@ def draft(files: DataFrame, relations: DataFrame, file_globs: bool, merge: bool,
     return nodes, ends.filter("src <> dst").select("src", "dst").distinct()
 
 
-def amend_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Edges before and after -> one row: added_nodes, added_edges."""
-    ends = lambda e: e.select(F.col("src").alias("n")).union(e.select("dst"))
-    edges = after.select("src", "dst").subtract(before.select("src", "dst")).groupBy().agg(F.count(F.lit(1)).alias("added_edges"))
-    nodes = ends(after).subtract(ends(before)).groupBy().agg(F.count(F.lit(1)).alias("added_nodes"))
-    return nodes.crossJoin(F.broadcast(edges))  # one row each
-
-
-def colours(nodes: DataFrame, name: str = "vibrant") -> DataFrame:
-    """(node_id) -> node_id, colour by position among the sorted ids; a contract's nodes are few."""
-    scheme = palette(name)
-    rank = F.row_number().over(Window.orderBy("node_id")) - 1
-    return nodes.select("node_id", F.element_at(F.array(*map(F.lit, scheme)), (rank % len(scheme) + 1).cast("int")).alias("colour")) if scheme else nodes.select("node_id", F.lit(None).cast("string").alias("colour"))
-
-
-def link_groups(edges: DataFrame, coloured: DataFrame) -> DataFrame:
-    """(src, dst) -> colour, links: the positions of a colour's edges among the sorted ones."""
-    numbered = edges.withColumn("i", F.row_number().over(Window.orderBy("src", "dst")) - 1)
-    rows = numbered.join(F.broadcast(coloured.select(F.col("node_id").alias("src"), "colour")), "src").filter("colour is not null")
-    return rows.groupBy("colour").agg(F.array_join(F.transform(F.array_sort(F.collect_list("i")), lambda x: x.cast("string")), ",").alias("links"))
+def added(before: Contract, after: Contract) -> tuple[int, int]:
+    """Nodes and edges that only the later one has."""
+    return len(after.nodes.keys() - before.nodes.keys()), len(after.edges.keys() - before.edges.keys())
 
 
 @dataclass
@@ -121,7 +103,7 @@ def dump(files: DataFrame, root: str, languages: list[Language] | None = None, c
     languages = languages or resolve_languages()
     seen = cut(trees.visible(files, root))
     caps = cut(discover.capsules(seen, root, languages))
-    todo = sorted(((r.capsule_dir, r.lang) for r in caps.collect()), key=lambda c: (-c[0].count("/"), c[0]))
+    todo = [(r.capsule_dir, r.lang) for r in caps.orderBy(*dump_order("capsule_dir")).collect()]
     if not todo:
         raise ValueError(f"no capsules found at {root}")
     result, written = DumpResult(), {}
@@ -160,6 +142,11 @@ def dump(files: DataFrame, root: str, languages: list[Language] | None = None, c
     return result
 
 
+def dump_order(column: str) -> list[Column]:
+    """Deepest first, then by name."""
+    return [F.size(F.split(column, "/")).desc(), F.col(column).asc()]
+
+
 def _upward(start: str, top: str) -> list[str]:
     out = [start]
     while out[-1] not in (top, "/"):
@@ -241,7 +228,7 @@ def _amend(current, check, root, capsule_dir, language, path, content, written,
     wanted = found.relations.select(F.col("abs").alias("file"), "line", "col", "target_abs", "scope", "target_scope")
     rows = own.join(wanted, ["file", "line", "col"], "left").select("file", "rule", "target_abs", "scope", "target_scope").distinct().collect()  # as many as broken relations
     alone = {r.file: r.scope for r in found.tracked.filter("src is null").select(F.col("abs").alias("file"), "scope").collect()}
-    before_nodes, before_edges = len(now.nodes), len(now.edges)
+    before = Contract(nodes=dict(now.nodes), edges=dict(now.edges))
 
     def node(place: str, home: str) -> str | None:
         if home != at:
@@ -262,13 +249,13 @@ def _amend(current, check, root, capsule_dir, language, path, content, written,
             src, dst = node(r.file, r.scope), node(r.target_abs, r.target_scope)
             if src and dst and src != dst:
                 now.edges.setdefault((src, dst), 0)
-    if (len(now.nodes), len(now.edges)) == (before_nodes, before_edges):
+    if added(before, now) == (0, 0):
         return
     if not language.file_globs:
         now.displays = dict(now.nodes) | now.displays
     written[path] = contract_files.render(now, colours_name)
     entry = entry or Dumped(path, is_new, len(now.nodes), len(now.edges))
-    entry.added_nodes, entry.added_edges, entry.text = len(now.nodes) - before_nodes, len(now.edges) - before_edges, written[path]
+    (entry.added_nodes, entry.added_edges), entry.text = added(before, now), written[path]
     if entry not in result.contracts:
         result.contracts.append(entry)
 
@@ -288,5 +275,3 @@ def _owner(nodes: dict[str, str], rel: str) -> str | None:
             hit.append((not is_file, -weight, i))
     return min(hit)[2] if hit else None
 
-
-__all__ = ["DumpResult", "Dumped", "amend_diff", "colours", "draft", "dump", "link_groups", "match_nodes", "merged_dirs", "restyle"]

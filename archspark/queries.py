@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import globs, paths, text
-from .languages import base_ignore_lines, scannable
+from .languages import LANGUAGES, resolve_languages, scannable
 from .languages import resolve as targets
 from .languages.registry import KOTLIN_PREFIXES
 from .operators import ignore, match, validate
 from .plans import casts
+from .plans.check import Check, distinct_errors, summarise, verdicts
 from .plans.casts import EDGES_SQL, KEY_SQL, LINKS, NODES_SQL, PAGES, literal, owners_sql, pages, values
 from .schema import PALETTES
-from .sources import discover, files as trees
+from .sources import contracts, discover, files as trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,9 +79,11 @@ def path_clean(spark, sf_dir):
 # ---- globs -----------------------------------------------------------------
 
 SEGMENTS = ["en", "e*", "*n", "1*9", "*.html", "*1*2*", "*", "f?", "a.b"]
+# The same for SQL; between two asterisks and before the next text stands one more character at least.
+SEGMENTS_MEANT = ["^en$", "^e", "n$", "^1.*9$", r"[.]html$", "^..*1.*2", "", "^f[?]$", "^a[.]b$"]
 
 
-@query(f"SELECT page_id, pattern, count(*) AS n FROM (SELECT page_id, unnest(string_split(rel, '/')) AS seg FROM ({PAGES})) s, {values('pattern, rx', [(s, '^' + globs._segment_py(s) + '$') for s in SEGMENTS])} WHERE regexp_matches(seg, rx) GROUP BY ALL")
+@query(f"SELECT page_id, pattern, count(*) AS n FROM (SELECT page_id, unnest(string_split(rel, '/')) AS seg FROM ({PAGES})) s, {values('pattern, rx', list(zip(SEGMENTS, SEGMENTS_MEANT)))} WHERE regexp_matches(seg, rx) GROUP BY ALL")
 def glob_segment_match(spark, sf_dir):
     rows = pages(spark, sf_dir).select("page_id", F.explode(F.split("rel", "/")).alias("seg"))
     rows = rows.crossJoin(F.broadcast(literal(spark, "pattern string", SEGMENTS)))  # the patterns are a fixed few
@@ -88,7 +91,8 @@ def glob_segment_match(spark, sf_dir):
 
 
 GLOBS = [".", "", "**", "en/**", "en/1*/**", "fr", "fr/*", "*/1*", "de/*.html", "*/*/*", "en/*1*2", "es/**/x"]
-_GLOB_SQL = values("pat, rx", [(g, globs.regex_of(g)) for g in GLOBS])
+GLOBS_MEANT = ["^[.]$", "^[.]$", "", "^en($|/)", "^en/1[^/]*/", "^fr$", "^fr/[^/]*$", "^[^/]*/1[^/]*$", "^de/[^/]*[.]html$", "^[^/]*/[^/]*/[^/]*$", "^en/[^/]+1[^/]*2$", "^es/[^/][^/]+/x$"]
+_GLOB_SQL = values("pat, rx", list(zip(GLOBS, GLOBS_MEANT)))
 
 
 @query(f"SELECT pat AS pattern, p AS path FROM (SELECT DISTINCT {KEY_SQL.format('rel')} AS p FROM ({PAGES})) k, {_GLOB_SQL} WHERE regexp_matches(p, rx) AND (p <> '.' OR pat IN ('', '.', '**'))")
@@ -123,10 +127,19 @@ def glob_overlap_pairs(spark, sf_dir):
 # ---- text ------------------------------------------------------------------
 
 
-@query("SELECT doc_id, n, CAST(len(string_split(t, chr(10))) AS INTEGER) AS line, CAST(strlen(string_split(t, chr(10))[-1]) + 1 AS INTEGER) AS col FROM (SELECT doc_id, 40 AS n, left(text, 40) AS t FROM documents WHERE lang = 'en' AND strlen(left(text, 40)) = 40)")
+@query("SELECT doc_id, strlen(text) AS n, CAST(len(string_split(text, chr(10))) AS INTEGER) AS line, CAST(strlen(string_split(text, chr(10))[-1]) + 1 AS INTEGER) AS col FROM documents")
 def text_line_col(spark, sf_dir):
-    rows = casts.read(spark, sf_dir, "documents").filter((F.col("lang") == "en") & (F.octet_length(F.left("text", F.lit(40))) == 40)).withColumn("n", F.lit(40))
-    return rows.select("doc_id", "n", text.line_number("text", "n").cast("int").alias("line"), text.byte_column("text", "n").cast("int").alias("col"))
+    """The place of the end of every text, in bytes."""
+    rows = casts.read(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length("text").alias("n"))
+    return rows.select("doc_id", F.col("n").cast("long").alias("n"), text.line_number("text", "n").cast("int").alias("line"), text.byte_column("text", "n").cast("int").alias("col"))
+
+
+@query(f"""SELECT page_id, rel || ' is tracked by C.md but matches no node' AS no_node, rel || ':' || page_id || ':7: import "' || replace(replace(url, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '" matches no node in C.md' AS import_no_node,
+rel || ':' || page_id || ':7 (a) → ' || capsule || ' (b) — relation not allowed (add edge in C.md or move the file)' AS relation FROM ({PAGES}) JOIN (SELECT page_id, url FROM pages) USING (page_id)""")
+def message_format(spark, sf_dir):
+    rows = pages(spark, sf_dir).join(casts.read(spark, sf_dir, "pages").select("page_id", "url"), "page_id")
+    file, line, col, c = F.col("rel"), F.col("page_id"), F.lit(7), F.lit("C.md")
+    return rows.select("page_id", text.no_node_message(file, c).alias("no_node"), text.import_no_node_message(file, line, col, F.col("url"), c).alias("import_no_node"), text.relation_message(file, line, col, F.lit("a"), F.col("capsule"), F.lit("b"), c).alias("relation"))
 
 
 IDS = ["a/b.c", "x-y z", ".", "", "9lives", "v1.2/*", "a_b", "@scope/{x}", "tab\there", "n1"]
@@ -208,11 +221,15 @@ def ancestor_contracts(spark, sf_dir):
     return chain.join(dirs.select(F.col("dir").alias("above")), "above").select("scope", "above")
 
 
-@query(f"SELECT page_id FROM ({_ABS}) a WHERE NOT EXISTS (SELECT 1 FROM ({_CONTRACT_DIRS}) c WHERE dir <> capsule_dir AND starts_with(abs, dir || '/'))")
+@query(f"SELECT DISTINCT CASE WHEN starts_with(capsule, 'm.') AND starts_with(rel, 'en/') THEN '/r/' || capsule || '/en' ELSE '/r/' || capsule END AS capsule_dir, '/r/' || capsule || '/' || rel || '.go' AS abs FROM ({PAGES}) WHERE rel <> '.'")
 def scan_nested_exclusion(spark, sf_dir):
-    rows, dirs = _tree(spark, sf_dir)
-    above = rows.select("page_id", "capsule_dir", F.explode(paths.ancestors("abs")).alias("dir")).filter("dir <> capsule_dir")
-    return rows.select("page_id").join(above.join(dirs, "dir").select("page_id"), "page_id", "left_anti")
+    """Files of a capsule within another one aren't the outer one's."""
+    rows = pages(spark, sf_dir).filter("rel <> '.'").select("capsule", "rel").distinct()
+    top = F.concat(F.lit("/r/"), "capsule")
+    nested = rows.filter("startswith(capsule, 'm.') and startswith(rel, 'en/')").select(F.concat(top, F.lit("/en")))
+    caps = rows.select(top).union(nested).distinct().toDF("capsule_dir").select("capsule_dir", F.lit("m").alias("capsule_id"), F.lit("go").alias("lang"))
+    files = rows.select(F.concat(top, F.lit("/"), "rel", F.lit(".go")).alias("abs"), F.lit(False).alias("is_dir"), F.lit(None).cast("binary").alias("content"))
+    return discover.tracked(files, caps, literal(spark, "dir string", []), "/r").select("capsule_dir", "abs")
 
 
 @query(f"SELECT abs, max(dir) AS nearest FROM (SELECT DISTINCT abs FROM ({_ABS})) a LEFT JOIN ({_CONTRACT_DIRS}) c ON starts_with(abs, dir || '/') GROUP BY abs")
@@ -222,22 +239,19 @@ def scan_nearest_manifest(spark, sf_dir):
     return rows.select("abs", paths.dirname("abs").alias("dir")).distinct().join(found, "dir").select("abs", F.col("owner").alias("nearest"))
 
 
-@query(f"SELECT DISTINCT regexp_replace(abs, '/[^/]*$', '') AS dir, regexp_extract(abs, '([^/]*)$', 1) AS name FROM ({_ABS}) WHERE ends_with(abs, '1.html')")
+@query("SELECT DISTINCT '/' || conv_id || '/assistant' AS contract, '/' || conv_id AS dir FROM conversations WHERE role = 'assistant'")
 def scan_contract_files(spark, sf_dir):
-    rows, _ = _tree(spark, sf_dir)
-    return rows.filter(F.endswith(F.col("abs"), F.lit("1.html"))).select(paths.dirname("abs").alias("dir"), paths.basename("abs").alias("name")).distinct()
+    at = F.concat(F.lit("/"), "conv_id", F.lit("/"), "role")
+    rows = casts.read(spark, sf_dir, "conversations").select(at.alias("abs"), F.lit(False).alias("is_dir"), F.lit(None).cast("binary").alias("content")).distinct()
+    return discover.contract_dirs(rows, "assistant").select("contract", "dir")
 
 
-MANIFESTS = [("/a", "package.json", "x"), ("/a", "go.mod", "m"), ("/b", "build.gradle", "k"), ("/b", "build.gradle.kts", "k2"), ("/c", "Cargo.toml", ""), ("/c", "package.json", "y"), ("/d", "pubspec.yaml", "z")]
-_RANKED = values("manifest, lang, rank", [("pubspec.yaml", "dart", 0), ("go.mod", "go", 10), ("build.gradle.kts", "kotlin", 20), ("build.gradle", "kotlin", 21), ("Cargo.toml", "rust", 30), ("package.json", "typescript", 40)])
+MANIFESTS = {"/r/a/package.json": '{"name": "x"}', "/r/a/go.mod": "module m\n", "/r/c/Cargo.toml": "[package]\n", "/r/c/package.json": '{"name": "y"}', "/r/d/pubspec.yaml": "name: z\n", "/r/d/Cargo.toml": '[package]\nname = "zz"\n', "/q/go.mod": "module out\n"}
 
 
-@query(f"SELECT dir, lang, id AS capsule_id FROM (SELECT m.dir, r.lang, m.id, row_number() OVER (PARTITION BY dir ORDER BY rank) AS k FROM (SELECT * FROM {values('dir, manifest, id', MANIFESTS)}) m JOIN (SELECT * FROM {_RANKED}) r USING (manifest) WHERE id <> '') WHERE k = 1")
+@query(f"SELECT dir AS capsule_dir, lang, id AS capsule_id FROM {values('dir, lang, id', [('/r/a', 'go', 'm'), ('/r/c', 'typescript', 'y'), ('/r/d', 'dart', 'z')])}")
 def scan_manifest_first(spark, sf_dir):
-    from .languages import manifest_table
-
-    rows = literal(spark, "dir string, manifest string, id string", MANIFESTS).filter("id <> ''").join(F.broadcast(manifest_table(spark)), "manifest")
-    return rows.groupBy("dir").agg(F.min_by(F.struct("lang", "id"), "rank").alias("c")).select("dir", "c.lang", F.col("c.id").alias("capsule_id"))
+    return discover.capsules(trees.from_rows(spark, MANIFESTS), "/r", resolve_languages()).select("capsule_dir", "lang", "capsule_id")
 
 
 RELS = ["a.go", "lib/b.dart", "src/c.ts", "src/d.tsx", "src/main/kotlin/E.kt", "src/main/kotlin/ETest.kt", "x/F.kt", "src/g.rs", "README", "src/main/kotlin/ksp/../generated/H.kt", "i.js"]
@@ -262,16 +276,40 @@ def _relations(spark, sf_dir):
     return rows.join(own.select(F.col("path").alias("rel"), F.col("node_id").alias("src")), "rel").join(own.select(F.col("path").alias("target"), F.col("node_id").alias("dst")), "target")
 
 
+def _judged(spark, sf_dir):
+    """Links of pages as imports of capsules that share a contract, judged."""
+    top = F.concat(F.lit("/"), "capsule")
+    under = lambda c: F.when(F.col(c) == ".", top).otherwise(F.concat(top, F.lit("/"), c))
+    rows = _relations(spark, sf_dir).filter("src is not null").select(
+        top.alias("capsule_dir"), under("rel").alias("abs"), "rel", top.alias("scope"), F.lit("pages").alias("contract"), "src", F.col("target").alias("path"),
+        F.col("page_id").alias("line"), F.col("ord").alias("col"), F.lit(0).alias("col_end"), "target", under("target").alias("target_abs"), top.alias("target_scope"),
+    )
+    dirs = rows.select("capsule_dir").distinct()
+    contracts = dirs.select(F.lit("pages").alias("contract"), F.col("capsule_dir").alias("dir"), F.lit(True).alias("readable"))
+    return verdicts(rows, casts.nodes(spark), casts.edges(spark), contracts, dirs.select("capsule_dir", F.lit("pages").alias("contract"), F.lit(True).alias("readable")))
+
+
 @query(f"SELECT src, dst, count(*) AS n FROM ({_REL}) r WHERE src <> dst AND NOT EXISTS (SELECT 1 FROM ({EDGES_SQL}) e WHERE e.src = r.src AND e.dst = r.dst) GROUP BY ALL")
 def check_in_scope(spark, sf_dir):
-    allowed = casts.edges(spark).select("src", "dst")
-    return _relations(spark, sf_dir).filter("src <> dst").join(F.broadcast(allowed), ["src", "dst"], "left_anti").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    return _judged(spark, sf_dir).filter("rule = 'import-not-allowed'").groupBy("d.src", "d.dst").agg(F.count(F.lit(1)).alias("n"))
+
 
+_NEXT = "SELECT event_id, event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events"
 
-@query(f"SELECT r.page_id, r.ord, r.target FROM ({_REL}) r JOIN ({NODES_SQL}) n ON n.node_id = r.src WHERE endophobic AND src = dst")
+
+@query(f"SELECT event_id, src || ':' || event_id || ':1 (' || src || ') → ' || src || ' (' || src || ') — ' || src || ' is endophobic (events)' AS message FROM ({_NEXT}) WHERE src = dst AND src IN ('view', 'click')")
 def check_endophobic(spark, sf_dir):
-    shy = casts.nodes(spark).filter(F.array_contains("classes", "endophobic")).select(F.col("node_id").alias("src"))
-    return _relations(spark, sf_dir).filter("src = dst").join(F.broadcast(shy), "src", "left_semi").select("page_id", "ord", "target")
+    """Steps between events of one type, which two types forbid."""
+    events = casts.read(spark, sf_dir, "events")
+    after = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    rows = events.select("event_id", F.col("event_type").alias("rel"), after.alias("target")).filter("target is not null")
+    top = F.lit("/events")
+    rows = rows.select(top.alias("capsule_dir"), F.concat(top, F.lit("/"), "rel").alias("abs"), "rel", top.alias("scope"), F.lit("events").alias("contract"), F.col("rel").alias("src"), F.col("target").alias("path"), F.col("event_id").alias("line"), F.lit(1).alias("col"), F.lit(1).alias("col_end"), "target", F.concat(top, F.lit("/"), "target").alias("target_abs"), top.alias("target_scope"))
+    shy = F.when(F.col("event_type").isin("view", "click"), F.array(F.lit("endophobic"))).otherwise(F.array().cast("array<string>"))
+    nodes = events.select(F.lit("events").alias("contract"), F.col("event_type").alias("node_id"), F.col("event_type").alias("glob"), shy.alias("classes")).distinct()
+    contracts = literal(spark, "contract string, dir string, readable boolean", [("events", "/events", True)])
+    judged = verdicts(rows, nodes, casts.edges(spark, (), "events"), contracts, contracts.withColumnRenamed("dir", "capsule_dir"))
+    return judged.filter("rule = 'endophobic'").select(F.col("line").alias("event_id"), "message")
 
 
 @query(f"SELECT path FROM ({owners_sql(f'SELECT rel AS path FROM ({PAGES})')}) WHERE node_id IS NULL")
@@ -281,7 +319,7 @@ def check_no_node(spark, sf_dir):
 
 @query(f"SELECT page_id, ord, target FROM ({_REL}) WHERE src IS NOT NULL AND dst IS NULL")
 def check_import_no_node(spark, sf_dir):
-    return _relations(spark, sf_dir).filter("src is not null and dst is null").select("page_id", "ord", "target")
+    return _judged(spark, sf_dir).filter("rule = 'import-no-node'").select(F.col("line").alias("page_id"), F.col("col").alias("ord"), "target")
 
 
 @query(f"SELECT l.capsule, count(DISTINCT l.page_id) AS files, count(*) AS relations, count(*) FILTER (src IS NULL OR dst IS NULL) AS unowned FROM ({_REL}) l GROUP BY l.capsule")
@@ -331,9 +369,45 @@ def edge_allowlist_nations(spark, sf_dir):
     return _flows(spark, sf_dir).filter("src <> dst and src_region <> dst_region").select("src", "dst")
 
 
-@query(f"WITH f AS ({_FLOWS}) SELECT src_region, dst_region, count(*) AS pairs, count(*) FILTER (src < dst) AS ordered_pairs FROM f WHERE src_region <> dst_region GROUP BY ALL")
+REGION_EDGES = (("ASIA", "EUROPE"), ("EUROPE", "ASIA"), ("AMERICA", "AFRICA"), ("AFRICA", "MIDDLE EAST"))
+
+
+@query(f"SELECT a.r_name || '/' || src AS rel, b.r_name || '/' || dst AS target FROM ({_FLOWS}) JOIN region a ON a.r_regionkey = src_region JOIN region b ON b.r_regionkey = dst_region WHERE src_region <> dst_region AND NOT EXISTS (SELECT 1 FROM {values('x, y', REGION_EDGES)} WHERE x = a.r_name AND y = b.r_name)")
 def check_cross_scope(spark, sf_dir):
-    return _flows(spark, sf_dir).filter("src_region <> dst_region").groupBy("src_region", "dst_region").agg(F.count(F.lit(1)).alias("pairs"), F.count(F.when(F.expr("src < dst"), 1)).alias("ordered_pairs"))
+    """Nations are files, regions scopes with contracts of their own, which can't decide on others; the world's does."""
+    region = casts.read(spark, sf_dir, "region")
+    side = lambda x: region.select(F.col("r_regionkey").alias(f"{x}_region"), F.col("r_name").alias(f"{x}_scope"))
+    rows = _flows(spark, sf_dir).join(side("src"), "src_region").join(side("dst"), "dst_region")
+    at = lambda *c: F.concat_ws("/", F.lit("/world"), *c)
+    rows = rows.select(
+        F.lit("/world").alias("capsule_dir"), at("src_scope", "src").alias("abs"), F.concat_ws("/", "src_scope", "src").alias("rel"), at("src_scope").alias("scope"), at("src_scope").alias("contract"), F.lit("all").alias("src"), F.col("dst").alias("path"),
+        F.lit(1).alias("line"), F.lit(1).alias("col"), F.lit(1).alias("col_end"), F.concat_ws("/", "dst_scope", "dst").alias("target"), at("dst_scope", "dst").alias("target_abs"), at("dst_scope").alias("target_scope"),
+    )
+    names = region.select(F.col("r_name"))
+    none = F.array().cast("array<string>").alias("classes")
+    nodes = names.select(F.lit("world").alias("contract"), F.col("r_name").alias("node_id"), F.concat("r_name", F.lit("/**")).alias("glob"), none)
+    nodes = nodes.union(names.select(at("r_name"), F.lit("all"), F.lit("**"), none))
+    contracts = names.select(at("r_name").alias("contract"), at("r_name").alias("dir"), F.lit(True).alias("readable")).union(literal(spark, "contract string, dir string, readable boolean", [("world", "/world", True)]))
+    roots = literal(spark, "capsule_dir string, contract string, readable boolean", [("/world", "world", True)])
+    return verdicts(rows, nodes, casts.edges(spark, REGION_EDGES, "world"), contracts, roots).filter("rule = 'import-not-allowed'").select("rel", "target")
+
+
+_SUPPRESSED = "SELECT '/' || r_name AS capsule_dir, count(*) AS n, r_regionkey AS k FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL"
+
+
+@query(f"SELECT capsule_dir, k % 3 = 0 AS void_all, k % 3 = 1 AS void_violations, CAST(CASE WHEN k % 3 = 0 THEN 0 ELSE n END AS INTEGER) AS files_encountered, CAST(CASE WHEN k % 3 = 0 THEN 0 ELSE n END AS INTEGER) AS files_scanned, CAST(CASE WHEN k % 3 = 0 THEN 0 ELSE n * n END AS INTEGER) AS relations, CAST(n AS INTEGER) AS nodes, CAST(n * (n - 1) / 2 AS INTEGER) AS edges FROM ({_SUPPRESSED})")
+def check_suppressed(spark, sf_dir):
+    """Regions are capsules, every third with overlapping nodes, every third with an invalid glob: the first have no counts."""
+    t = lambda n: casts.read(spark, sf_dir, n)
+    regions = t("region").select(F.concat(F.lit("/"), "r_name").alias("capsule_dir"), "r_regionkey")
+    files = regions.join(t("nation"), F.col("n_regionkey") == F.col("r_regionkey")).select("capsule_dir", "r_regionkey", F.col("n_name").alias("src"), F.array(F.lit("x")).alias("imports"))
+    pairs = files.select("capsule_dir", "src").join(files.select("capsule_dir", F.col("src").alias("dst")), "capsule_dir")
+    roots = regions.select("capsule_dir", F.col("capsule_dir").alias("contract"))
+    nodes, edges = files.select(F.col("capsule_dir").alias("contract"), F.col("src").alias("node_id")), pairs.filter("src < dst").select(F.col("capsule_dir").alias("contract"), "src", "dst")
+    errors = regions.select("capsule_dir", F.expr("element_at(array('node-overlap', 'invalid-node-glob', 'empty-node-glob'), cast(r_regionkey % 3 + 1 as int))").alias("rule"))
+    caps = regions.select("capsule_dir", F.lit("go").alias("lang"))
+    out = summarise(roots, caps, files, pairs, nodes, edges, errors, roots, literal(spark, "capsule_dir string, source_error string", []))
+    return out.select("capsule_dir", "void_all", "void_violations", "files_encountered", "files_scanned", "relations", "nodes", "edges")
 
 
 # ---- contracts: validation -------------------------------------------------
@@ -377,21 +451,28 @@ def validate_file_glob_unsupported(spark, sf_dir):
     return _messages(validate.file_globs(_bad(spark)[0], literal(spark, "contract string, file_globs boolean", [("C.md", False)])))
 
 
-@query(f"WITH RECURSIVE r AS (SELECT src, dst FROM {_BE} UNION SELECT r.src, e.dst FROM r JOIN (SELECT * FROM {_BE}) e ON e.src = r.dst) SELECT DISTINCT src AS node_id FROM r WHERE src = dst")
+_CYCLE_SQL = f"""WITH RECURSIVE e AS (SELECT src, dst, line FROM {_BE} WHERE src IN (SELECT node_id FROM {_BN}) AND dst IN (SELECT node_id FROM {_BN})),
+w AS (SELECT src AS start, [src, dst] AS path, line FROM e WHERE dst >= src UNION ALL SELECT start, list_append(path, dst), e.line FROM w JOIN e ON e.src = path[-1] AND path[-1] <> start AND dst >= start AND (dst = start OR NOT list_contains(path, dst)))
+SELECT path, line FROM w WHERE path[-1] = start"""
+
+
+@query(f"SELECT DISTINCT unnest(path) AS node_id FROM ({_CYCLE_SQL})")
 def validate_cycle_members(spark, sf_dir):
-    return validate.cycle_members(_bad(spark)[1]).select("node_id")
+    found = validate.cycles(*_bad(spark))
+    return found.select(F.explode(F.split(F.regexp_replace("message", "^circular dependency: | \\([^()]*\\)$", ""), " → ")).alias("node_id")).distinct()
 
 
-@query()
+@query(f"SELECT 'circular dependency: ' || array_to_string(path, ' → ') || ' (C.md:' || line || ')' AS message, line FROM ({_CYCLE_SQL})")
 def validate_cycle_messages(spark, sf_dir):
     return _messages(validate.cycles(*_bad(spark)))
 
 
-_PAIRS = [("en", "en/**", "ones", "en/1*"), ("en", "en/**", "all", "**"), ("ones", "en/1*", "all", "**"), ("french", "fr/*", "all", "**")]
+# Node, its glob and what that means, twice.
+_PAIRS = [("en", "en/**", "ones", "en/1*", "^en($|/)", "^en/1[^/]*$"), ("en", "en/**", "all", "**", "^en($|/)", ""), ("ones", "en/1*", "all", "**", "^en/1[^/]*$", ""), ("french", "fr/*", "all", "**", "^fr/[^/]*$", "")]
 
 
 @query(
-    f"SELECT a, b, min(rel) AS witness FROM {values('a, ga, b, gb, ra, rb', [(a, ga, b, gb, globs.regex_of(ga), globs.regex_of(gb)) for a, ga, b, gb in _PAIRS])}, (SELECT rel, {KEY_SQL.format('rel')} AS k FROM ({PAGES})) f WHERE regexp_matches(k, ra) AND regexp_matches(k, rb) AND (k <> '.' OR ga = '**') AND (k <> '.' OR gb = '**') GROUP BY ALL"
+    f"SELECT a, b, min(rel) AS witness FROM {values('a, ga, b, gb, ra, rb', _PAIRS)}, (SELECT rel, {KEY_SQL.format('rel')} AS k FROM ({PAGES})) f WHERE regexp_matches(k, ra) AND regexp_matches(k, rb) AND (k <> '.' OR ga = '**') AND (k <> '.' OR gb = '**') GROUP BY ALL"
 )
 def validate_overlap_witness(spark, sf_dir):
     nodes = literal(spark, "node_id string, glob string, line int", [("all", "**", 1), ("en", "en/**", 2), ("french", "fr/*", 3), ("ones", "en/1*", 4)]).withColumn("contract", F.lit("C.md"))
@@ -415,7 +496,9 @@ def ignore_parse_rules(spark, sf_dir):
     return ignore.parse(rows).select("line", "inclusion", "dir_only", "anchored", "segs")
 
 
-_RULE_SQL = values("layer, ordinal, domain, rx, inclusion", [(layer, i, d, *(lambda c: (c[0], c[2]))(ignore.rule_regex(line))) for i, (layer, d, line) in enumerate(RULES)])
+# The same for SQL: a name at any depth, or a path from the domain's top; what ends in a slash holds for what lies below.
+RULES_MEANT = ["(^|/)es/", "(^|/)[^/]*[.]html($|/)", "(^|/)7[^/]*[.]html($|/)", "^en/1", "(^|/)2", "(^|/)25", "(^|/)3[^/]*/"]
+_RULE_SQL = values("layer, ordinal, domain, rx, inclusion", [(layer, i, d, rx, line.startswith("!")) for i, ((layer, d, line), rx) in enumerate(zip(RULES, RULES_MEANT))])
 _BELOW = "CASE WHEN domain = '.' THEN rel WHEN starts_with(rel, domain || '/') THEN substr(rel, length(domain) + 2) END"
 _IGNORED = f"SELECT p.rel, coalesce(NOT arg_max(inclusion, layer * 100 + ordinal) FILTER (regexp_matches({_BELOW}, rx)), false) AS ignored FROM (SELECT DISTINCT rel FROM ({PAGES}) WHERE rel <> '.') p, {_RULE_SQL} GROUP BY p.rel"
 
@@ -443,9 +526,30 @@ def ignore_pruned_ancestors(spark, sf_dir):
     return ignore.prune(docs.unionByName(dirs)).filter(~F.col("is_dir")).select(F.concat(F.lit("/"), "path").alias("path"))
 
 
-@query(f"SELECT name AS line FROM {values('name', base_ignore_lines())}")
+# Rules that hold everywhere, by name.
+BASE_RULES = ["*.d.ts", "*.d.tsx", "*.freezed.dart", "*.g.dart", "*.spec.ts", "*.spec.tsx", "*.test.ts", "*.test.tsx", "*_test.dart", "*_test.go", ".dart_tool/", ".git/", ".hg/", ".idea/", ".kotlin/", ".pub/", ".svn/", ".vs/", ".vscode/", "build/", "coverage/", "node_modules/", "target/", "vendor/", "coverage.lcov"]
+
+
+@query(f"SELECT rule, CASE WHEN ends_with(rule, '/') THEN '/r/' || rtrim(rule, '/') || '/x' ELSE '/r/' || replace(rule, '*', 'a') END AS abs FROM {values('rule', BASE_RULES)}")
 def ignore_base_layer(spark, sf_dir):
-    return literal(spark, "line string", base_ignore_lines())
+    """For each rule a file that it hides; files that no rule hides stay."""
+    rows = literal(spark, "rule string", BASE_RULES).withColumn("abs", F.concat(F.lit("/r/"), F.when(F.endswith(F.col("rule"), F.lit("/")), F.concat(F.rtrim("rule", F.lit("/")), F.lit("/x"))).otherwise(F.replace("rule", F.lit("*"), F.lit("a")))))
+    names = [r.abs for r in rows.collect()]  # a fixed few
+    seen = trees.visible(trees.from_rows(spark, {n: "" for n in [*names, "/r/a.ts", "/r/b/c.go"]}), "/r")
+    return rows.join(seen.select("abs"), "abs", "left_anti").select("rule", "abs")
+
+
+DOMAINS = [(0, "en", "/1*"), (0, "fr", "2*"), (1, "fr", "!*5"), (1, "de/7", "x"), (2, ".", "en/12*/")]
+_DOMAIN_HIT = "CASE WHEN starts_with(rel, 'fr/') AND regexp_matches(rel, '^fr/(.*/)?[^/]*5($|/)') THEN false WHEN starts_with(rel, 'en/1') THEN true WHEN regexp_matches(rel, '^fr/(.*/)?2') THEN true WHEN regexp_matches(rel, '^de/7/(.*/)?x($|/)') THEN true ELSE false END"
+
+
+@query(f"SELECT DISTINCT rel, regexp_matches(rel, '^en/12[^/]*/') OR {_DOMAIN_HIT} AS ignored FROM ({PAGES}) WHERE rel <> '.'")
+def ignore_domain_scope(spark, sf_dir):
+    """Rules hold below the directory of their file only."""
+    compiled = [(layer, i, d, *(lambda c: (c[0], c[2]))(ignore.rule_regex(line))) for i, (layer, d, line) in enumerate(DOMAINS)]
+    table = literal(spark, "layer int, ordinal int, domain string, regex string, inclusion boolean", compiled)
+    at = pages(spark, sf_dir).filter("rel <> '.'").select(F.col("rel").alias("path"), F.lit(False).alias("is_dir")).distinct()
+    return ignore.verdicts(at, table).select(F.col("path").alias("rel"), "ignored")
 
 
 @query("SELECT doc_id, CAST(i AS INTEGER) - 1 AS line_no, trim(l[i]) AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE trim(l[i]) <> '' AND NOT starts_with(trim(l[i]), '#')")
@@ -454,26 +558,29 @@ def ignore_read_lines(spark, sf_dir):
     return ignore.lines(docs).select(F.col("dir").alias("doc_id"), "line_no", F.trim("line").alias("line"))
 
 
-@query("SELECT '/' || source || '/' || d.doc_id AS abs, CASE WHEN d.doc_id % 7 = 0 THEN 'new' ELSE left(text, 8) END AS head FROM documents d UNION ALL SELECT '/extra/file', 'new'")
+@query("SELECT '/' || source || '/' || d.doc_id AS abs, sha256(CASE WHEN d.doc_id % 7 = 0 THEN 'new' ELSE text END) AS content_sha256 FROM documents d UNION ALL SELECT '/extra/file', sha256('new')")
 def overlay_merge(spark, sf_dir):
     docs = casts.read(spark, sf_dir, "documents").withColumn("abs", F.concat(F.lit("/"), "source", F.lit("/"), "doc_id"))
     over = docs.filter("doc_id % 7 = 0").select("abs", F.lit("new").alias("content")).union(literal(docs.sparkSession, "abs string, content string", [("/extra/file", "new")]))
     merged = trees.overlay(docs.select("abs", F.lit(False).alias("is_dir"), F.encode("text", "UTF-8").alias("content")), over)
-    return merged.filter(~F.col("is_dir")).select("abs", F.left(F.col("content").cast("string"), F.lit(8)).alias("head"))
+    return merged.filter(~F.col("is_dir")).select("abs", F.sha2("content", 256).alias("content_sha256"))
 
 
-@query("SELECT '/' || role AS abs, arg_max(text, conv_id * 1000 + turn) AS content FROM conversations GROUP BY role")
+@query("SELECT '/' || conv_id || '/' || role AS abs, arg_max(text, turn) AS content FROM conversations GROUP BY conv_id, role")
 def overlay_last_wins(spark, sf_dir):
-    rows = casts.read(spark, sf_dir, "conversations").select(F.concat(F.lit("/./"), "role").alias("abs"), "text", "conv_id", "turn")
-    return rows.groupBy(paths.clean("abs").alias("abs")).agg(F.max_by("text", F.struct("conv_id", "turn")).alias("content"))
+    """A payload for each conversation, its turns as files by role."""
+    turns = casts.read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("/./"), "conv_id", F.lit("//"), "role").alias("path"), F.col("text").alias("content")))).alias("t"))
+    payload = turns.select(F.to_json(F.struct(F.transform("t", lambda x: F.struct(x["path"].alias("path"), x["content"].alias("content"))).alias("files"))).alias("json"))
+    return trees.overlay_rows(payload)
 
 
-@query("SELECT '/' || source AS abs FROM documents GROUP BY source HAVING count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) = 0")
+@query("SELECT '/' || source || '/' || lang AS abs FROM documents GROUP BY source, lang HAVING count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) = 0")
 def visible_targets(spark, sf_dir):
-    docs = casts.read(spark, sf_dir, "documents").select("doc_id", "source")
-    good = casts.read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
-    dirs = docs.select(F.concat(F.lit("/"), "source").alias("abs"), F.lit(True).alias("is_dir")).distinct()
-    seen = dirs.unionByName(docs.join(good, "doc_id", "left_semi").select(F.concat(F.lit("/"), "source", F.lit("/"), "doc_id").alias("abs"), F.lit(False).alias("is_dir")))
+    """Directories without a visible file aren't targets: of sources by language, those without a document labelled toxic."""
+    docs = casts.read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("/"), "source", F.lit("/"), "lang").alias("dir"))
+    shown = casts.read(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
+    dirs = docs.select(F.col("dir").alias("abs"), F.lit(True).alias("is_dir")).distinct()
+    seen = dirs.unionByName(docs.join(shown, "doc_id", "left_semi").select(F.concat("dir", F.lit("/"), "doc_id").alias("abs"), F.lit(False).alias("is_dir")))
     return trees.empty_dirs(seen, seen)
 
 
@@ -598,15 +705,40 @@ def manifest_ids(spark, sf_dir):
 # ---- inference, styles, reports --------------------------------------------
 
 
-@query("SELECT DISTINCT event_type AS node_id FROM events")
+_DIR = "CASE WHEN instr({0}, '/') = 0 THEN '.' ELSE regexp_replace({0}, '/[^/]*$', '') END"
+
+
+def _draft_sql(but: str = "''") -> str:
+    """SQL for the ends of links (src, dst with their globs) and files, directories with several files merged but for one."""
+    merged = f"SELECT d FROM (SELECT DISTINCT rel, {_DIR.format('rel')} AS d FROM ({PAGES}) WHERE rel <> '.') WHERE d <> '.' AND d <> {but} GROUP BY d HAVING count(*) > 1"
+    name = lambda x: f"CASE WHEN {_DIR.format(x)} IN (SELECT d FROM m) THEN {KEY_SQL.format('(' + _DIR.format(x) + ')')} ELSE {x} END"
+    glob = lambda x: f"CASE WHEN {_DIR.format(x)} IN (SELECT d FROM m) THEN {_DIR.format(x)} || '/*.*' ELSE {x} END"
+    return f"m AS ({merged}), f AS (SELECT DISTINCT rel FROM ({PAGES}) WHERE rel <> '.'), l AS (SELECT DISTINCT rel, target FROM ({LINKS}) WHERE rel <> '.'), e AS (SELECT {name('rel')} AS src, {name('target')} AS dst, {glob('target')} AS dst_glob FROM l), n AS (SELECT {name('rel')} AS node_id, {glob('rel')} AS pattern FROM f)"
+
+
+def _drafted(spark, sf_dir, **how):
+    """All pages as the files of one capsule, and what they link to."""
+    from .plans.dump import draft
+
+    files = pages(spark, sf_dir).filter("rel <> '.'").select("rel").distinct()
+    links = casts.links(spark, sf_dir).filter("rel <> '.'").select("rel", F.col("target").alias("target_rel")).distinct()
+    return draft(files, links, True, True, **how)
+
+
+@query(f"WITH {_draft_sql()} SELECT node_id, max(pattern) AS pattern FROM (SELECT * FROM n UNION ALL SELECT dst, dst_glob FROM e) GROUP BY node_id")
 def dump_nodes(spark, sf_dir):
-    steps = _steps(spark, sf_dir)
-    return steps.select(F.col("src").alias("node_id")).union(steps.select("dst")).distinct()
+    return _drafted(spark, sf_dir)[0].select("node_id", F.col("glob").alias("pattern"))
 
 
-@query(f"SELECT DISTINCT src, dst FROM ({_STEPS}) WHERE dst IS NOT NULL AND src <> dst")
+@query(f"WITH {_draft_sql()} SELECT DISTINCT src, dst FROM e WHERE src <> dst")
 def dump_edges(spark, sf_dir):
-    return _steps(spark, sf_dir).filter("src <> dst").select("src", "dst").distinct()
+    return _drafted(spark, sf_dir)[1]
+
+
+@query(f"WITH {_draft_sql(chr(39) + 'en' + chr(39))} SELECT DISTINCT src, dst FROM e WHERE src <> dst")
+def dump_expansion(spark, sf_dir):
+    """The same with one merged directory taken apart."""
+    return _drafted(spark, sf_dir, expanded=["en"])[1]
 
 
 @query(f"SELECT capsule, dir, dir || '/*.*' AS pattern, count(*) AS files FROM (SELECT capsule, CASE WHEN instr(rel, '/') = 0 THEN '.' ELSE regexp_replace(rel, '/[^/]*$', '') END AS dir FROM ({PAGES})) WHERE dir <> '.' GROUP BY ALL HAVING count(*) > 1")
@@ -616,69 +748,145 @@ def dump_merged_dirs(spark, sf_dir):
     return merged_dirs(pages(spark, sf_dir).select(F.col("capsule").alias("contract"), "rel")).select(F.col("contract").alias("capsule"), "dir", F.col("glob").alias("pattern"), "files")
 
 
-@query(f"WITH f AS ({_FLOWS}) SELECT DISTINCT src_region, dst_region FROM f WHERE src_region <> dst_region")
+@query(f"SELECT DISTINCT a.r_name AS src, b.r_name AS dst FROM ({_FLOWS}) JOIN region a ON a.r_regionkey = src_region JOIN region b ON b.r_regionkey = dst_region WHERE src_region <> dst_region")
 def dump_boundary_edges(spark, sf_dir):
-    return _flows(spark, sf_dir).select("src_region", "dst_region").filter("src_region <> dst_region").distinct()
+    """What lies in regions, which have contracts of their own, is one node for each."""
+    from .plans.dump import _draft
+
+    region = casts.read(spark, sf_dir, "region")
+    at = lambda key, name: F.concat_ws("/", F.lit("/world"), key, name)
+    side = lambda x: region.select(F.col("r_regionkey").alias(f"{x}_region"), F.col("r_name").alias(f"{x}_scope"))
+    refs = _flows(spark, sf_dir).join(side("src"), "src_region").join(side("dst"), "dst_region").select(at("src_scope", "src").alias("abs"), at("dst_scope", "dst").alias("target_abs"))
+    inside = refs.select("abs").distinct().withColumn("rel", F.expr("substring(abs, 8)"))
+    drafted = _draft(inside, refs, "/world", [f"/world/{r.r_name}" for r in region.collect()], LANGUAGES["go"], False, ())
+    return literal(spark, "src string, dst string", sorted(drafted.edges))
 
 
 @query(f"WITH o AS (SELECT DISTINCT src, dst FROM ({_STEPS}) WHERE dst IS NOT NULL AND src <> dst), e AS (SELECT * FROM {values('src, dst', casts.EVENT_EDGES)}) SELECT (SELECT count(*) FROM (SELECT src AS n FROM o UNION SELECT dst FROM o EXCEPT (SELECT src FROM e UNION SELECT dst FROM e))) AS added_nodes, (SELECT count(*) FROM (SELECT * FROM o EXCEPT SELECT * FROM e)) AS added_edges")
 def dump_amend_diff(spark, sf_dir):
-    from .plans.dump import amend_diff
+    """Observed steps added to a contract's nodes and edges, as an amendment does."""
+    from .plans.dump import added
 
-    return amend_diff(casts.edges(spark, casts.EVENT_EDGES).select("src", "dst"), dump_edges(spark, sf_dir))
+    before, after = contracts.Contract(), contracts.Contract()
+    for a, b in casts.EVENT_EDGES:
+        for c in (before, after):
+            c.edges[c.add(a, a), c.add(b, b)] = 0
+    for r in sorted(_steps(spark, sf_dir).filter("src <> dst").select("src", "dst").distinct().collect()):  # a contract's edges
+        after.edges[after.add(r.src, r.src), after.add(r.dst, r.dst)] = 0
+    return literal(spark, "added_nodes long, added_edges long", [added(before, after)])
 
 
-@query(f"SELECT dir, CAST(row_number() OVER (ORDER BY len(string_split(dir, '/')) DESC, dir) AS INTEGER) AS position FROM (SELECT DISTINCT regexp_replace(abs, '/[^/]*$', '') AS dir FROM ({_ABS}) WHERE page_id % 10 = 0)")
+@query(f"SELECT dir, CAST(row_number() OVER (ORDER BY len(string_split(dir, '/')) DESC, dir) AS INTEGER) AS position FROM (SELECT DISTINCT regexp_replace(abs, '/[^/]*$', '') AS dir FROM ({_ABS}))")
 def dump_order(spark, sf_dir):
-    rows, _ = _tree(spark, sf_dir)
-    dirs = rows.filter("page_id % 10 = 0").select(paths.dirname("abs").alias("dir")).distinct()
-    return dirs.select("dir", F.row_number().over(Window.orderBy(F.size(F.split("dir", "/")).desc(), "dir")).alias("position"))
+    """Directories of all pages as capsules."""
+    from .plans import dump
 
-
-@query(f"SELECT dir, CAST(row_number() OVER (ORDER BY len(string_split(dir, '/')) DESC, dir) AS INTEGER) AS position FROM (SELECT DISTINCT regexp_replace(abs, '/[^/]*$', '') AS dir FROM ({_ABS}))")
-def dump_order_all(spark, sf_dir):
     rows, _ = _tree(spark, sf_dir)
     dirs = rows.select(paths.dirname("abs").alias("dir")).distinct()
-    return dirs.select("dir", F.row_number().over(Window.orderBy(F.size(F.split("dir", "/")).desc(), "dir")).alias("position"))
+    return dirs.select("dir", F.row_number().over(Window.orderBy(*dump.dump_order("dir"))).alias("position"))
 
 
 _COLOURS = "[" + ", ".join(f"'{c}'" for c in PALETTES["vibrant"]) + "]"
 
 
-@query(f"SELECT n_name AS node_id, {_COLOURS}[(row_number() OVER (ORDER BY n_name) - 1) % 16 + 1] AS colour FROM nation")
-def style_colors(spark, sf_dir):
-    from .plans.dump import colours
+_NAME_ID = _ENCODE.replace("(id,", "(n_name,")
 
-    return colours(casts.read(spark, sf_dir, "nation").select(F.col("n_name").alias("node_id")))
 
+@query(f"SELECT 'style ' || {_NAME_ID} || ' stroke:' || {_COLOURS}[(row_number() OVER (ORDER BY n_name) - 1) % 16 + 1] || ',stroke-width:2px' || CASE WHEN n_regionkey = 0 THEN ',stroke-dasharray:5 5' ELSE '' END AS line FROM nation")
+def style_colors(spark, sf_dir):
+    nations = sorted(casts.read(spark, sf_dir, "nation").select("n_name", "n_regionkey").collect())  # a contract's nodes
+    made = contracts.style_lines([r.n_name for r in nations], [], {r.n_name for r in nations if r.n_regionkey == 0}, "vibrant")
+    return literal(spark, "line string", list(made))
 
-@query(f"WITH o AS (SELECT DISTINCT src, dst FROM ({_FLOWS}) WHERE src <> dst), n AS (SELECT n_name, {_COLOURS}[(row_number() OVER (ORDER BY n_name) - 1) % 16 + 1] AS c FROM nation), e AS (SELECT src, row_number() OVER (ORDER BY src, dst) - 1 AS i FROM o) SELECT c AS colour, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS links FROM e JOIN n ON n_name = src GROUP BY c")
+
+@query(f"WITH o AS (SELECT DISTINCT src, dst FROM ({_FLOWS}) WHERE src <> dst), n AS (SELECT n_name, {_COLOURS}[(row_number() OVER (ORDER BY n_name) - 1) % 16 + 1] AS c FROM nation), e AS (SELECT src, row_number() OVER (ORDER BY src, dst) - 1 AS i FROM o) SELECT 'linkStyle ' || string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) || ' stroke:' || c || ',stroke-width:2px' AS line FROM e JOIN n ON n_name = src GROUP BY c")
 def style_link_groups(spark, sf_dir):
-    from .plans.dump import colours, link_groups
+    names = sorted(r.n_name for r in casts.read(spark, sf_dir, "nation").select("n_name").collect())
+    edges = sorted(tuple(r) for r in _flows(spark, sf_dir).filter("src <> dst").select("src", "dst").distinct().collect())  # a contract's edges
+    return literal(spark, "line string", [x for x in contracts.style_lines(names, edges, set(), "vibrant") if x.startswith("linkStyle")])
+
+
+def _documents(spark, sf_dir):
+    """For each region a contract of its nations by key, each with an edge to the next: contract, content."""
+    rows = casts.read(spark, sf_dir, "nation").join(casts.read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("n"))
+    node = F.transform("n", lambda x: F.concat(F.lit("n"), x["n_nationkey"].cast("string"), F.lit('["'), F.replace(x["n_name"], F.lit(" "), F.lit("/")), F.lit('/&ast;"]  %% a note')))
+    pair = F.transform(F.sequence(F.lit(1), F.size("n") - 1), lambda i: F.concat(F.lit("  n"), F.element_at("n", i)["n_nationkey"].cast("string"), F.lit(" --> n"), F.element_at("n", i + 1)["n_nationkey"].cast("string")))
+    lines = F.concat(F.array(F.lit("# title"), F.lit("```mermaid"), F.lit("flowchart TD")), node, F.array(F.lit(""), F.lit("%% edges")), pair, F.array(F.lit("```"), F.lit("text")))
+    return rows.select(F.col("r_name").alias("contract"), F.array_join(lines, "\n").alias("content"))
+
 
-    nodes = casts.read(spark, sf_dir, "nation").select(F.col("n_name").alias("node_id"))
-    return link_groups(_flows(spark, sf_dir).filter("src <> dst").select("src", "dst").distinct(), colours(nodes))
+_PLACED = "SELECT r_name, n_nationkey, n_name, row_number() OVER w AS i, count(*) OVER (PARTITION BY r_name) AS n, lead(n_nationkey) OVER w AS after FROM nation JOIN region ON r_regionkey = n_regionkey WINDOW w AS (PARTITION BY r_name ORDER BY n_nationkey)"
 
 
-@query()
+@query(f"SELECT r_name AS contract, 'node' AS kind, CAST(n_nationkey AS VARCHAR) AS a, replace(n_name, ' ', '/') || '/*' AS b, CAST(3 + i AS INTEGER) AS line FROM ({_PLACED}) UNION ALL SELECT r_name, 'edge', CAST(n_nationkey AS VARCHAR), CAST(after AS VARCHAR), CAST(5 + n + i AS INTEGER) FROM ({_PLACED}) WHERE after IS NOT NULL")
 def contract_parse_lines(spark, sf_dir):
-    from .sources import contracts
+    read = contracts.read(_documents(spark, sf_dir))
+    nodes = contracts.nodes_of(read).select("contract", F.lit("node").alias("kind"), F.col("node_id").alias("a"), F.col("glob").alias("b"), "line")
+    return nodes.union(contracts.edges_of(read).select("contract", F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "line"))
 
-    doc = "# x\n```mermaid\nflowchart TD\na[\"x/&ast;\"]:::endophobic\nb[y] %% note\na --> b --> c\n```\n"
-    return contracts.edges_of(contracts.read(literal(spark, "contract string, content string", [("C.md", doc)])))
 
+@query(f"SELECT r_name AS contract, '  n' || n_nationkey || '[\"' || replace(n_name, ' ', '/') || '/&ast;\"]' AS line FROM ({_PLACED}) UNION ALL SELECT r_name, '  n' || n_nationkey || ' --> n' || after FROM ({_PLACED}) WHERE after IS NOT NULL")
+def contract_render(spark, sf_dir):
+    """Documents read and written again, without styles: nodes and edges."""
+    made = [(r.contract, line) for r in _documents(spark, sf_dir).collect() for line in contracts.render(contracts.parse(r.content), "none").split("\n") if line.startswith("  ")]  # five documents
+    return literal(spark, "contract string, line string", made)
+
+
+@query("SELECT r_name || x.kind AS path, x.kind = '/plain' AS changed, x.kind = '/broken' AS failed FROM region, (VALUES ('/plain'), ('/done'), ('/broken')) AS x(kind)")
+def restyle_changed(spark, sf_dir):
+    """Documents without styles change, restyled ones don't, and those that can't be read are errors."""
+    from .plans.dump import restyle
+
+    plain = {r.contract: r.content for r in _documents(spark, sf_dir).collect()}
+    given = [(f"{p}/plain", c) for p, c in plain.items()] + [(f"{p}/done", contracts.render(contracts.parse(c), "muted")) for p, c in plain.items()] + [(f"{p}/broken", c.replace("-->", "->")) for p, c in plain.items()]
+    return literal(spark, "path string, changed boolean, failed boolean", [(p, new is not None, error is not None) for p, new, error in restyle(given, "muted")])
+
+
+_REPORTED = "SELECT '/' || r_name AS label, count(DISTINCT n_nationkey) AS files, count(DISTINCT CASE WHEN s_suppkey IS NOT NULL THEN n_nationkey END) AS scanned, count(s_suppkey) AS relations, CAST(any_value(r_regionkey) AS BIGINT) AS k FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY r_name"
+
+
+def _reported(spark, sf_dir):
+    """Regions as capsules, nations as files, suppliers as imports, those with a debt as violations: what reports are made from."""
+    from .plans import report
 
-@query("SELECT region, n_customers, n_customers || CASE WHEN n_customers = 1 THEN ' file' ELSE ' files' END || ' scanned' AS line FROM (SELECT r_name AS region, count(*) AS n_customers FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY r_name)")
-def report_text_lines(spark, sf_dir):
     t = lambda n: casts.read(spark, sf_dir, n)
-    counts = t("customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey").agg(F.sum("n").alias("n_customers")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return counts.select(F.col("r_name").alias("region"), "n_customers", F.concat(text.plural(F.col("n_customers"), "file", "files"), F.lit(" scanned")).alias("line"))
+    rows = t("region").join(t("nation"), F.col("n_regionkey") == F.col("r_regionkey")).join(t("supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    rows = rows.withColumn("capsule_dir", F.concat(F.lit("/"), "r_name"))
+    number = lambda c: c.cast("int")
+    caps = rows.groupBy("capsule_dir").agg(number(F.count_distinct("n_nationkey")).alias("files_encountered"), number(F.count_distinct(F.when(F.col("s_suppkey").isNotNull(), F.col("n_nationkey")))).alias("files_scanned"), number(F.count("s_suppkey")).alias("relations"), number(F.max("r_regionkey")).alias("nodes"))
+    caps = caps.select("*", F.col("capsule_dir").alias("label"), F.lit(1).alias("edges"), F.lit(None).cast("string").alias("source_error"))
+    owing = rows.filter("s_acctbal < 0").select("capsule_dir", F.lit("no-node").alias("rule"), F.col("s_name").alias("message"), F.lit("error").alias("severity"), F.lit("s").alias("source"), F.col("n_name").alias("file"), *[F.lit(1).alias(c) for c in ("line", "col", "col_end")])
+    errors = rows.filter("r_regionkey = 1").select("capsule_dir", F.lit("empty-node-glob").alias("rule"), F.lit("bad").alias("message"), F.col("capsule_dir").alias("contract"), F.lit(3).alias("line")).distinct()
+    return report, report.collect(Check(caps, owing, errors, caps, caps, caps))
+
+
+@query(f"SELECT label || ' (' || CASE WHEN files = scanned THEN files || CASE WHEN files = 1 THEN ' file' ELSE ' files' END ELSE scanned || ' of ' || files || CASE WHEN files = 1 THEN ' file' ELSE ' files' END END || ' scanned' || CASE WHEN relations > 0 THEN ', ' || relations || ' internal ' || CASE WHEN relations = 1 THEN 'import' ELSE 'imports' END || ' checked' ELSE '' END || ', graph: ' || k || CASE WHEN k = 1 THEN ' node' ELSE ' nodes' END || ', 1 edge)' AS line FROM ({_REPORTED})")
+def report_text_lines(spark, sf_dir):
+    """The line of each capsule."""
+    report, found = _reported(spark, sf_dir)
+    marks = {report.RED, report.GREEN, report.PLAIN, "✓ ", "✗ "}
+    rows = [x for x in report.text(found).split("\n") if x and not x.startswith("    ")]
+    for mark in marks:
+        rows = [x.replace(mark, "") for x in rows]
+    return literal(spark, "line string", [x for x in rows if "(" in x])
+
+
+@query(f"SELECT label, files, relations, coalesce(v, 0) AS violations, CASE WHEN k = 1 THEN 1 ELSE 0 END AS errors, (SELECT count(*) + 1 FROM supplier WHERE s_acctbal < 0) AS for_editors FROM ({_REPORTED}) LEFT JOIN (SELECT '/' || r_name AS label, count(*) AS v FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE s_acctbal < 0 GROUP BY ALL) USING (label)")
+def report_json_counts(spark, sf_dir):
+    """What the JSON of both kinds holds."""
+    import json
+
+    report, found = _reported(spark, sf_dir)
+    whole, editor = json.loads(report.full_json(found)), json.loads(report.editor_json(found))
+    rows = [(c["Label"], c["FilesEncountered"], c["Relations"], len(c["Violations"]), len(c["Errors"]), len(editor)) for c in whole["Capsules"]]
+    return literal(spark, "label string, files long, relations long, violations long, errors int, for_editors long", rows)
 
 
-@query(f"SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS k FROM (SELECT src, dst, count(*) AS n FROM ({_STEPS}) WHERE dst IS NOT NULL GROUP BY ALL)) WHERE k = 1")
+@query(f"SELECT src AS contract, dst AS message, min('/u' || user_id) AS capsule_dir FROM ({_STEPS}) WHERE dst IS NOT NULL GROUP BY ALL")
 def dedupe_errors(spark, sf_dir):
-    counts = _steps(spark, sf_dir).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy(F.col("n").desc(), "dst"))).filter("k = 1").select("src", "dst")
+    """Steps as errors of contracts that many capsules share: each once, for the first capsule by label."""
+    rows = _steps(spark, sf_dir).select(F.concat(F.lit("/u"), "user_id").alias("capsule_dir"), F.col("src").alias("contract"), F.lit("r").alias("rule"), F.col("dst").alias("message"), F.lit(1).alias("line"))
+    return distinct_errors(rows, rows.select("capsule_dir", F.col("capsule_dir").alias("label")).distinct()).select("contract", "message", "capsule_dir")
 
 
 @query(f"SELECT 'no-node' AS rule, count(*) AS n FROM ({owners_sql(f'SELECT rel AS path FROM ({PAGES})')}) WHERE node_id IS NULL UNION ALL SELECT 'import-no-node', count(*) FROM ({_REL}) WHERE src IS NOT NULL AND dst IS NULL")
@@ -699,3 +907,10 @@ def stream_sessions(spark, sf_dir):
 
     found = sessions(casts.read(spark, sf_dir, "events"), "user_id", "ts", "6 hours")
     return found.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS path, arg_max(event_type, event_id) AS content, max(event_id) AS run FROM events GROUP BY user_id")
+def stream_latest_overlay(spark, sf_dir):
+    from .streaming.editor import latest
+
+    return latest(casts.read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("run"), F.col("event_type").alias("content")))
