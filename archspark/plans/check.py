@@ -131,9 +131,9 @@ def verdicts(relations: DataFrame, nodes: DataFrame, edges: DataFrame, contracts
     above = above.withColumn("clear", F.min(F.col("readable").cast("int")).over(order)).filter("clear = 1").select(*key, "target_abs", (F.col("up") + 1).alias("rank"), "contract", "at")
     root = crossing.select(*key, "target_abs").join(roots.filter("readable").select("capsule_dir", "contract"), "capsule_dir").select(*key, "target_abs", F.lit(1 << 20).alias("rank"), "contract", F.col("capsule_dir").alias("at"))
     tries = own.unionByName(above).unionByName(root)
-    tries = tries.withColumn("src_path", paths.relative("at", "abs")).withColumn("dst_path", paths.relative("at", "target_abs"))
+    tries = cut(tries.withColumn("src_path", paths.relative("at", "abs")).withColumn("dst_path", paths.relative("at", "target_abs")))
     wanted = tries.select("contract", F.col("src_path").alias("path")).union(tries.select("contract", "dst_path")).distinct()
-    owners = match_nodes(wanted, nodes).filter("node_id is not null")
+    owners = cut(match_nodes(wanted, nodes).filter("node_id is not null"))
     side = lambda x: owners.select("contract", F.col("path").alias(f"{x}_path"), F.col("node_id").alias(x))
     decided = tries.join(side("src"), ["contract", "src_path"]).join(side("dst"), ["contract", "dst_path"])
     best = decided.groupBy(*key).agg(F.min_by(F.struct("rank", F.col("contract").alias("by"), "src", "dst", "dst_path"), "rank").alias("d"))

@@ -17,6 +17,7 @@ from .plans.check import Check, distinct_errors, summarise, verdicts
 from .plans.casts import EDGES_SQL, KEY_SQL, LINKS, NODES_SQL, PAGES, literal, owners_sql, pages, values
 from .schema import PALETTES
 from .sources import contracts, discover, files as trees
+from .sources.shared import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -284,6 +285,7 @@ def _judged(spark, sf_dir):
         top.alias("capsule_dir"), under("rel").alias("abs"), "rel", top.alias("scope"), F.lit("pages").alias("contract"), "src", F.col("target").alias("path"),
         F.col("page_id").alias("line"), F.col("ord").alias("col"), F.lit(0).alias("col_end"), "target", under("target").alias("target_abs"), top.alias("target_scope"),
     )
+    rows = cut(rows)
     dirs = rows.select("capsule_dir").distinct()
     contracts = dirs.select(F.lit("pages").alias("contract"), F.col("capsule_dir").alias("dir"), F.lit(True).alias("readable"))
     return verdicts(rows, casts.nodes(spark), casts.edges(spark), contracts, dirs.select("capsule_dir", F.lit("pages").alias("contract"), F.lit(True).alias("readable")))
@@ -308,7 +310,7 @@ def check_endophobic(spark, sf_dir):
     shy = F.when(F.col("event_type").isin("view", "click"), F.array(F.lit("endophobic"))).otherwise(F.array().cast("array<string>"))
     nodes = events.select(F.lit("events").alias("contract"), F.col("event_type").alias("node_id"), F.col("event_type").alias("glob"), shy.alias("classes")).distinct()
     contracts = literal(spark, "contract string, dir string, readable boolean", [("events", "/events", True)])
-    judged = verdicts(rows, nodes, casts.edges(spark, (), "events"), contracts, contracts.withColumnRenamed("dir", "capsule_dir"))
+    judged = verdicts(cut(rows), nodes, casts.edges(spark, (), "events"), contracts, contracts.withColumnRenamed("dir", "capsule_dir"))
     return judged.filter("rule = 'endophobic'").select(F.col("line").alias("event_id"), "message")
 
 
@@ -389,7 +391,7 @@ def check_cross_scope(spark, sf_dir):
     nodes = nodes.union(names.select(at("r_name"), F.lit("all"), F.lit("**"), none))
     contracts = names.select(at("r_name").alias("contract"), at("r_name").alias("dir"), F.lit(True).alias("readable")).union(literal(spark, "contract string, dir string, readable boolean", [("world", "/world", True)]))
     roots = literal(spark, "capsule_dir string, contract string, readable boolean", [("/world", "world", True)])
-    return verdicts(rows, nodes, casts.edges(spark, REGION_EDGES, "world"), contracts, roots).filter("rule = 'import-not-allowed'").select("rel", "target")
+    return verdicts(cut(rows), nodes, casts.edges(spark, REGION_EDGES, "world"), contracts, roots).filter("rule = 'import-not-allowed'").select("rel", "target")
 
 
 _SUPPRESSED = "SELECT '/' || r_name AS capsule_dir, count(*) AS n, r_regionkey AS k FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL"
