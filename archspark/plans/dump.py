@@ -217,7 +217,7 @@ def _amend(current, check, root, capsule_dir, language, path, content, written,
     except contract_files.ContractError as e:
         result.errors.append((path, str(e)))
         return
-    found = check(current(), root, [language], contract_name)
+    found = check(current(), root, [language], contract_name, within=capsule_dir)
     errors = [r for r in found.errors.filter(F.col("contract") == path).collect()]
     if errors:
         kinds = {r.rule for r in errors}

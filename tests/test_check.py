@@ -77,10 +77,12 @@ ERRORS = {
 }
 
 
+TREE = {"/w/.git": ""} | {f"/w/{name}/{path}": text for name, files in CAPSULES.items() for path, text in files.items()}
+
+
 @pytest.fixture(scope="module")
 def found(spark):
-    tree = {"/w/.git": ""} | {f"/w/{name}/{path}": text for name, files in CAPSULES.items() for path, text in files.items()}
-    return report.collect(check(trees.from_rows(spark, tree), "/w"))
+    return report.collect(check(trees.from_rows(spark, TREE), "/w"))
 
 
 @pytest.fixture(scope="module")
@@ -111,3 +113,10 @@ def test_renderers(found):
     text = report.text(found)
     assert "✗ /w/rules (3 of 4 files scanned" in text and "    violation [no-node]: other/o.go is tracked by" in text and "✗ /w/syntax: " in text
     assert '"FilesScanned": 3' in report.full_json(found) and report.editor_json(found).startswith('[{"rule":')
+
+
+def test_within_looks_into_one_capsule(spark, by_name):
+    some = check(trees.from_rows(spark, TREE), "/w", within="/w/rules")
+    assert {r.capsule_dir for r in some.tracked.select("capsule_dir").distinct().collect()} == {"/w/rules"}
+    own = {c.label: (c, violations) for c, violations, _ in report.collect(some)["capsules"]}["/w/rules"]
+    assert own == by_name["rules"][:2]
