@@ -23,11 +23,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, name: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = sql
+            ORACLES[name or f.__name__] = sql
         return f
 
     return add
@@ -60,13 +60,18 @@ def path_is_file_glob(spark, sf_dir):
     return casts.read(spark, sf_dir, "part").select("p_partkey", g.alias("pattern")).withColumn("is_file", paths.is_file_glob("pattern"))
 
 
-RELATIVE = [("a/b", "a/b/c", "c"), ("a/b", "a/c", "../c"), ("a", "a", "."), ("", "x/y", "x/y"), ("a/b/c", "d", "../../../d"), ("a/b", "a", "..")]
+_TYPE = "replace(p_brand || '/' || p_type, ' ', '/')"
+_TARGET = f"CASE p_partkey % 4 WHEN 0 THEN {_TYPE} || '/' || p_size WHEN 1 THEN regexp_replace({_TYPE}, '/[^/]*$', '/' || p_size) WHEN 2 THEN split_part({_TYPE}, '/', 1) ELSE p_size || '/' || {_TYPE} END"
+_SHARED = "len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[1:i] = b[1:i]))"
+_TO = f"array_to_string(list_concat(list_transform(range(len(a) - {_SHARED}), lambda i: '..'), b[{_SHARED} + 1:]), '/')"
 
 
-@query(f"SELECT base, target, want AS rel, (want = '..' OR starts_with(want, '../')) AS escapes FROM {values('base, target, want', RELATIVE)}")
+@query(f"SELECT p_partkey, base, target, rel, rel = '..' OR starts_with(rel, '../') AS escapes FROM (SELECT *, CASE WHEN {_TO} = '' THEN '.' ELSE {_TO} END AS rel FROM (SELECT *, string_split(base, '/') AS a, string_split(target, '/') AS b FROM (SELECT p_partkey, {_TYPE} AS base, {_TARGET} AS target FROM part)))")
 def path_relative(spark, sf_dir):
-    rows = literal(spark, "base string, target string, want string", RELATIVE).select("base", "target", paths.relative("base", "target").alias("rel"))
-    return rows.withColumn("escapes", paths.escapes("rel"))
+    size, base = F.col("p_size").cast("string"), F.replace(F.concat_ws("/", "p_brand", "p_type"), F.lit(" "), F.lit("/"))
+    target = F.element_at(F.array(F.concat_ws("/", base, size), F.concat_ws("/", F.regexp_replace(base, "/[^/]*$", ""), size), F.split(base, "/")[0], F.concat_ws("/", size, base)), (F.col("p_partkey") % 4 + 1).cast("int"))
+    rows = casts.read(spark, sf_dir, "part").select("p_partkey", base.alias("base"), target.alias("target"))
+    return rows.withColumn("rel", paths.relative("base", "target")).withColumn("escapes", paths.escapes("rel"))
 
 
 CLEAN = [("a//b/./c", "a/b/c"), ("a/../b", "b"), ("../x", "../x"), ("/../x", "/x"), ("", "."), ("./", "."), ("a/b/../..", "."), ("a/../../b", "../b"), ("/a/b/", "/a/b")]
@@ -247,14 +252,6 @@ def scan_contract_files(spark, sf_dir):
     return discover.contract_dirs(rows, "assistant").select("contract", "dir")
 
 
-MANIFESTS = {"/r/a/package.json": '{"name": "x"}', "/r/a/go.mod": "module m\n", "/r/c/Cargo.toml": "[package]\n", "/r/c/package.json": '{"name": "y"}', "/r/d/pubspec.yaml": "name: z\n", "/r/d/Cargo.toml": '[package]\nname = "zz"\n', "/q/go.mod": "module out\n"}
-
-
-@query(f"SELECT dir AS capsule_dir, lang, id AS capsule_id FROM {values('dir, lang, id', [('/r/a', 'go', 'm'), ('/r/c', 'typescript', 'y'), ('/r/d', 'dart', 'z')])}")
-def scan_manifest_first(spark, sf_dir):
-    return discover.capsules(trees.from_rows(spark, MANIFESTS), "/r", resolve_languages()).select("capsule_dir", "lang", "capsule_id")
-
-
 RELS = ["a.go", "lib/b.dart", "src/c.ts", "src/d.tsx", "src/main/kotlin/E.kt", "src/main/kotlin/ETest.kt", "x/F.kt", "src/g.rs", "README", "src/main/kotlin/ksp/../generated/H.kt", "i.js"]
 
 
@@ -599,109 +596,182 @@ def extract_distinct_per_file(spark, sf_dir):
     return casts.links(spark, sf_dir).groupBy("page_id", "target").agg(F.min("ord").alias("ord"))
 
 
-SOURCES = [
-    ("dart", "import 'package:a/b.dart';\nexport \"x.dart\" show Y;\npart 'p.dart';\n// import 'no.dart';\n"),
-    ("typescript", "import a from 'x';\nimport 'x';\nconst y = require(\"y\");\nimport('z');\nexport * from './e';\nimport {\n  q\n} from 'unseen';\n"),
-    ("kotlin", "package p\nimport a.b.C\nimport a.d.*\nimport static e.F\n  import g\n"),
-    ("rust", "use crate::a::b;\npub use super::c;\nmod d;\nextern crate e as f;\nuse crate::a::b;\n"),
-    ("go", 'package m\n\nimport (\n\t"fmt"\n\tx "a/b" // note\n\t. "c"\n)\nimport "d"\n\nfunc f() {}\n'),
-]
-FOUND = [
-    ("dart", "package:a/b.dart", 1, 9), ("dart", "x.dart", 2, 9), ("dart", "p.dart", 3, 7),
-    ("typescript", "x", 1, 16), ("typescript", "y", 3, 20), ("typescript", "z", 4, 9), ("typescript", "./e", 5, 16),
-    ("kotlin", "a.b.C", 2, 8), ("kotlin", "a.d", 3, 8), ("kotlin", "e.F", 4, 15), ("kotlin", "g", 5, 10),
-    ("rust", "crate::a::b", 1, 1), ("rust", "super::c", 2, 1), ("rust", "d", 3, 1), ("rust", "e", 4, 1),
-    ("go", "fmt", 4, 2), ("go", "a/b", 5, 4), ("go", "c", 6, 4), ("go", "d", 8, 8),
-]
+# Sources made of documents: a text as comment lines, then this with {s} for the source, {l} for the language, {d} for doc_id.
+SOURCES = {
+    "dart": "import 'package:a/{s}.dart';\nexport \"{l}.dart\" show Y;\n  part 'p{d}.dart';\n// import 'no.dart';\n",
+    "typescript": "import a from 'm/{s}';\nimport '{l}/{d}';\nconst y = require(\"y{d}\");\nexport * from './{l}';\n  import b from 'm/{s}';\nimport {\n  q\n} from 'unseen';\n",
+    "kotlin": "package p\nimport m.{s}.C{d}\nimport {l}.*\n  import static e.F{d}\n",
+    "rust": "use crate::{s}::d{d};\npub use super::{l};\nmod m{d};\n  extern crate {l} as f;\nuse crate::{s}::d{d};\n",
+    "go": 'package p\n\nimport (\n\t"m/{s}/{l}"\n\td{d} "m/{d}" // import "no"\n)\n/* {l} */ import . "é/{s}"\n\nfunc f() {}\nimport "late"\n',
+}
+# For SQL: what is imported, in which line behind the comment, in which column.
+IMPORTED = {
+    "dart": [("'package:a/' || source || '.dart'", 1, "9"), ("lang || '.dart'", 2, "9"), ("'p' || doc_id || '.dart'", 3, "9")],
+    "typescript": [("'m/' || source", 1, "16"), ("lang || '/' || doc_id", 2, "9"), ("'y' || doc_id", 3, "20"), ("'./' || lang", 4, "16")],
+    "kotlin": [("'m.' || source || '.C' || doc_id", 2, "8"), ("lang", 3, "8"), ("'e.F' || doc_id", 4, "17")],
+    "rust": [("'crate::' || source || '::d' || doc_id", 1, "1"), ("'super::' || lang", 2, "1"), ("'m' || doc_id", 3, "1"), ("lang", 4, "1")],
+    "go": [("'m/' || source || '/' || lang", 4, "2"), ("'m/' || doc_id", 5, "length('d' || doc_id) + 3"), ("'é/' || source", 7, "length(lang) + 17")],
+}
+
+
+def _filled(text: str):
+    out = F.lit(text)
+    for mark, column in (("{s}", "source"), ("{l}", "lang"), ("{d}", "doc_id")):
+        out = F.replace(out, F.lit(mark), F.col(column).cast("string"))
+    return out
+
+
+def _commented(mark: str):
+    return F.concat(F.lit(f"{mark} "), F.replace("text", F.lit("\n"), F.lit(f"\n{mark} ")), F.lit("\n"))
 
 
 def _extract(lang):
+    lines = "length(text) - length(replace(text, chr(10), '')) + 1"
+
+    @query(" UNION ALL ".join(f"SELECT doc_id, {path} AS path, CAST({lines} + {line} AS INTEGER) AS line, CAST({col} AS INTEGER) AS col FROM documents" for path, line, col in IMPORTED[lang]), f"extract_{'ts' if lang == 'typescript' else lang}_imports")
     def run(spark, sf_dir):
         from .plans.check import parse_imports
 
-        rows = literal(spark, "lang string, content string", [s for s in SOURCES if s[0] == lang]).select(F.col("lang").alias("abs"), "lang", F.encode("content", "UTF-8").alias("content"))
-        return parse_imports(rows).select(F.explode("imports").alias("i")).select("i.path", "i.line", "i.col")
+        content = F.encode(F.concat(_commented("//"), _filled(SOURCES[lang])), "UTF-8")
+        rows = casts.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("abs"), F.lit(lang).alias("lang"), content.alias("content"))
+        return parse_imports(rows).select(F.col("abs").cast("long").alias("doc_id"), F.explode("imports").alias("i")).select("doc_id", "i.path", "i.line", "i.col")
 
-    run.__name__ = f"extract_{'ts' if lang == 'typescript' else lang}_imports"
-    return query(f"SELECT path, CAST(line AS INTEGER) AS line, CAST(col AS INTEGER) AS col FROM {values('lang, path, line, col', FOUND)} WHERE lang = '{lang}'")(run)
+    return run
 
 
-for _lang in ("dart", "typescript", "kotlin", "rust", "go"):
+for _lang in SOURCES:
     _extract(_lang)
 
-MODULES = [("m.org/a/x/y", "m.org/a"), ("m.org/ab", "m.org/a"), ("fmt", "m.org/a"), ("m.org/a", "m.org/a")]
+
+def _by(column: str, *cases):
+    """The case whose number is the column modulo their count."""
+    rest = F.col(column) % len(cases)
+    out = F.when(rest == 0, cases[0])
+    for i, c in enumerate(cases[1:], 1):
+        out = out.when(rest == i, c)
+    return out
+
+
+def _by_sql(column: str, *cases: str) -> str:
+    return f"CASE {column} % {len(cases)} " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(cases)) + " END"
 
 
-@query(f"SELECT spec, id, CASE WHEN starts_with(spec, id || '/') THEN substr(spec, length(id) + 2) END AS target FROM {values('spec, id', MODULES)}")
+_MODULE = _by_sql("page_id", "rel || '/' || target", "regexp_replace(rel || '/' || target, '^[^/]*/', '')", "NULL")
+
+
+@query(f"SELECT page_id, ord, {_MODULE} AS target FROM ({LINKS})")
 def resolve_prefix_module(spark, sf_dir):
-    return literal(spark, "spec string, id string", MODULES).select("spec", "id", targets.go(F.col("spec"), F.col("id")).alias("target"))
+    """Modules are hosts, first directories of hosts, and what a host's name begins with."""
+    rows = casts.links(spark, sf_dir)
+    module = _by("page_id", F.col("capsule"), F.concat_ws("/", "capsule", F.split("rel", "/")[0]), F.expr("left(capsule, length(capsule) - 1)"))
+    return rows.select("page_id", "ord", targets.go(F.concat_ws("/", "capsule", "rel", "target"), module).alias("target"))
 
 
-PACKAGES = [("dart:io", "lib/a.dart", None), ("package:shop/x/y.dart", "lib/a.dart", "lib/x/y.dart"), ("package:other/x.dart", "lib/a.dart", None), ("../b.dart", "lib/ui/a.dart", "lib/b.dart"), ("../../../b.dart", "lib/a.dart", None), ("c.dart", "lib/ui/a.dart", "lib/ui/c.dart")]
+_ABOVE = "regexp_replace('lib/' || rel, '(^|/)[^/]+/[^/]+$', '')"
+_URI = _by_sql("ord", "'lib/' || target", f"CASE WHEN {_ABOVE} = '' THEN target ELSE {_ABOVE} || '/' || target END", "regexp_replace('lib/' || rel, '[^/]*$', '') || target", "NULL", "NULL", "NULL")
 
 
-@query(f"SELECT spec, rel, want AS target FROM {values('spec, rel, want', PACKAGES)}")
+@query(f"SELECT page_id, ord, {_URI} AS target FROM ({LINKS})")
 def resolve_package_uri(spark, sf_dir):
-    return literal(spark, "spec string, rel string, want string", PACKAGES).select("spec", "rel", targets.dart(F.col("spec"), F.lit("shop"), F.col("rel")).alias("target"))
+    """Links as own packages, from the directory above, from the file's, from other packages, the library and beyond the top."""
+    head = _by("ord", *map(F.lit, ("package:shop/", "../", "", "package:other/", "dart:", "../" * 9)))
+    rows = casts.links(spark, sf_dir)
+    return rows.select("page_id", "ord", targets.dart(F.concat(head, "target"), F.lit("shop"), F.concat(F.lit("lib/"), "rel")).alias("target"))
 
 
-DOTTED = [("com.x.a.B", "src/jvmMain/kotlin/A.kt", "src/jvmMain/kotlin/com/x/a/B"), ("com.x", "A.kt", "src/main/kotlin/com/x"), ("com.xy.C", "A.kt", None), ("org.z", "A.kt", None)]
+_DOTTED = _by_sql("doc_id", "'/com/' || source || '/' || lang || '/D' || doc_id", "'/com/' || source", "NULL", "NULL")
 
 
-@query(f"SELECT spec, rel, want AS target FROM {values('spec, rel, want', DOTTED)}")
+@query(f"SELECT doc_id, CASE lang WHEN 'en' THEN 'src/jvmMain/kotlin' WHEN 'fr' THEN 'src/jsTest/kotlin' ELSE 'src/main/kotlin' END || {_DOTTED} AS target FROM documents")
 def resolve_dotted_package(spark, sf_dir):
-    return literal(spark, "spec string, rel string, want string", DOTTED).select("spec", "rel", targets.kotlin(F.col("spec"), F.lit("com.x"), F.col("rel")).alias("target"))
+    own = F.concat(F.lit("com."), "source")
+    spec = _by("doc_id", F.concat(own, F.lit("."), "lang", F.lit(".D"), F.col("doc_id").cast("string")), own, F.concat(own, F.lit("x.C")), F.concat(own, F.lit(".")))
+    rel = F.when(F.col("lang") == "en", "src/jvmMain/kotlin/A.kt").when(F.col("lang") == "fr", "src/jsTest/kotlin/a/B.kt").otherwise("A.kt")
+    return casts.read(spark, sf_dir, "documents").select("doc_id", targets.kotlin(spec, own, rel).alias("target"))
 
 
-CRATES = [
-    ("crate::a::b", "src/x.rs", "src/a"), ("crate::a", "src/x.rs", "src"), ("super::a::b", "src/m/x.rs", "src/m/a"), ("super::super::c", "src/m/n/x.rs", "src/m"), ("self::q", "src/m/x.rs", "src/m"),
-    ("shop::a::b::C", "src/x.rs", "src/a/b"), ("serde::de", "src/x.rs", None), ("util", "src/m/x.rs", "src/m/util"), ("crate::a::b as c", "src/x.rs", "src/a"), ("super::z", "x.rs", "src"),
-]
+CRATES = ["crate::{l}::{s}::D{d}", "crate::{l}", "super::a{d}::b", "super::super::{l}", "self::{s}", "{s}::{l}::b::C", "serde::{l}", "util{d}", "crate::{l}::D as e{d}"]
+_CRATE = _by_sql("doc_id", "'src/' || lang || '/' || source", "'src'", "'src/' || lang || '/a' || doc_id", "'src'", "'src/' || lang", "'src/' || lang || '/b'", "NULL", "'src/' || lang || '/util' || doc_id", "'src/' || lang")
 
 
-@query(f"SELECT spec, rel, want AS target FROM {values('spec, rel, want', CRATES)}")
+@query(f"SELECT doc_id, {_CRATE} AS target FROM documents")
 def resolve_crate_path(spark, sf_dir):
-    return literal(spark, "spec string, rel string, want string", CRATES).select("spec", "rel", targets.rust(F.col("spec"), F.lit("shop"), F.col("rel")).alias("target"))
+    """Documents are files of crates named by source, in directories by language."""
+    rows = casts.read(spark, sf_dir, "documents")
+    return rows.select("doc_id", targets.rust(_by("doc_id", *map(_filled, CRATES)), F.col("source"), _filled("src/{l}/x.rs")).alias("target"))
 
 
-ALIASES = [("/c", "@/*", ["src/*", "alt/*"], ""), ("/c", "@/ui/*", ["src/widgets/*"], ""), ("/c", "cfg", ["conf/main"], "base")]
-SPECS = [("/c", "@/ui/b", "src/widgets/b"), ("/c", "@/q", "alt/q"), ("/c", "@/none", "src/none"), ("/c", "cfg", "base/conf/main")]
+ALIASES = [("@/*", ["src/*", "alt/*"], ""), ("@/en/*", ["widgets/*"], ""), ("cfg", ["conf/main"], "base")]
+_ALIAS = "CASE WHEN doc_id % 3 = 2 THEN 'base/conf/main' WHEN lang = 'en' THEN 'widgets/d' || doc_id WHEN doc_id % 2 = 0 THEN 'alt/' || lang || '/d' || doc_id ELSE 'src/' || lang || '/d' || doc_id END"
 
 
-@query(f"SELECT spec, want AS target FROM {values('dir, spec, want', SPECS)}")
+@query(f"SELECT DISTINCT '/' || source AS capsule_dir, CASE WHEN doc_id % 3 = 2 THEN 'cfg' ELSE '@/' || lang || '/d' || doc_id END AS spec, {_ALIAS} AS target FROM documents")
 def resolve_alias_map(spark, sf_dir):
-    aliases = literal(spark, "capsule_dir string, pattern string, replacements array<string>, base_url string", ALIASES)
-    specs = literal(spark, "capsule_dir string, spec string, want string", SPECS)
-    return targets.typescript_aliases(specs, aliases, literal(spark, "abs string", ["/c/alt/q", "/c/src/ui/b"])).select("spec", "target")
+    """Sources are capsules; documents with an even id exist at the second place only."""
+    docs = casts.read(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.concat(F.lit("/"), "source").alias("capsule_dir"))
+    aliases = docs.select("capsule_dir").distinct().crossJoin(F.broadcast(literal(spark, "pattern string, replacements array<string>, base_url string", ALIASES)))  # a fixed few
+    specs = docs.select("capsule_dir", F.when(F.col("doc_id") % 3 == 2, "cfg").otherwise(_filled("@/{l}/d{d}")).alias("spec"))
+    return targets.typescript_aliases(specs, aliases, docs.filter("doc_id % 2 = 0").select(_filled("/{s}/alt/{l}/d{d}").alias("abs"))).select("capsule_dir", "spec", "target")
 
 
-ENDINGS = [("src/a", "src/a.ts"), ("src/b.js", "src/b.ts"), ("src/c", "src/c/index.tsx"), ("src/d.css", "src/d.css"), ("src/e.jsx", "src/e.jsx"), ("src/f", "src/f")]
+# Ending of a target, endings of the files that exist, the one that is meant.
+ENDINGS = [("", [".js", ".ts"], ".ts"), ("", ["/index.tsx", ""], "/index.tsx"), (".js", [".ts", ".tsx"], ".ts"), (".css", [], ".css"), ("", [".vue"], ""), (".jsx", [".tsx", ".jsx"], ".jsx")]
 
 
-@query(f"SELECT target, want AS file FROM {values('target, want', ENDINGS)}")
+@query(f"SELECT '/' || source AS capsule_dir, 'src/d' || doc_id || ending AS target, 'src/d' || doc_id || meant AS file FROM documents JOIN {values('k, ending, meant', [(i, e, m) for i, (e, _, m) in enumerate(ENDINGS)])} ON k = doc_id % {len(ENDINGS)}")
 def resolve_extension_candidates(spark, sf_dir):
-    have = literal(spark, "abs string", ["/c/src/a.ts", "/c/src/a.js", "/c/src/b.ts", "/c/src/c", "/c/src/c/index.tsx", "/c/src/e.jsx", "/c/src/e.tsx"])
-    rows = literal(spark, "target string, want string", ENDINGS).select(F.lit("/c").alias("capsule_dir"), "target")
-    return targets.typescript_endings(rows, have).select("target", "file")
+    docs = casts.read(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    there = _by("doc_id", *[F.array(*map(F.lit, have)).cast("array<string>") for _, have, _ in ENDINGS])
+    existing = docs.select("*", F.explode(there).alias("ending")).select(F.concat(_filled("/{s}/src/d{d}"), "ending").alias("abs"))
+    rows = docs.select(_filled("/{s}").alias("capsule_dir"), F.concat(_filled("src/d{d}"), _by("doc_id", *[F.lit(e) for e, _, _ in ENDINGS])).alias("target"))
+    return targets.typescript_endings(rows, existing)
 
 
-KOTLIN_TREE = ["/k/src/main/kotlin/com/a/x/A.kt", "/k/src/main/kotlin/com/ab/B.kt", "/j/src/main/kotlin/org/q/r/C.kt", "/j/src/main/kotlin/org/q/r/s/D.kt"]
+@query("SELECT '/k/' || source AS dir, 'com.' || source || CASE WHEN starts_with(max(lang), min(lang)) THEN '.' || min(lang) ELSE '' END AS capsule_id FROM documents GROUP BY source")
+def common_package_prefix(spark, sf_dir):
+    """Sources are capsules, languages packages."""
+    docs = casts.read(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    files = docs.select(_filled("/k/{s}/src/main/kotlin/com/{s}/{l}/D{d}.kt").alias("abs"), F.lit(False).alias("is_dir"))
+    tops = docs.select(_filled("/k/{s}/src/main/kotlin").alias("abs"), F.lit(True).alias("is_dir")).distinct()
+    return discover.kotlin_ids(files.unionByName(tops), docs.select(_filled("/k/{s}").alias("dir")).distinct())
 
 
-@query(f"SELECT dir, id AS capsule_id FROM {values('dir, id', [('/k', 'com.a'), ('/j', 'org.q.r')])}")
-def common_package_prefix(spark, sf_dir):
-    files = trees.from_rows(spark, dict.fromkeys(KOTLIN_TREE, ""))
-    return discover.kotlin_ids(files, literal(spark, "dir string", ["/k", "/j"]))
+def _manifest_tree(spark, sf_dir, *cases):
+    """For each document a directory with the files (name, content column) of the case for its id."""
+    entry = lambda c: F.array(*[F.struct(F.lit(name).alias("name"), content.alias("content")) for name, content in c])
+    rows = casts.read(spark, sf_dir, "documents").select(_filled("/r/{d}/").alias("dir"), F.explode(_by("doc_id", *map(entry, cases))).alias("f"))
+    return rows.select(F.concat("dir", "f.name").alias("abs"), F.lit(False).alias("is_dir"), F.encode("f.content", "UTF-8").alias("content"))
 
 
-MANIFEST_TEXTS = [("/a/go.mod", "// x\nmodule \"m.org/a\"\n", "m.org/a"), ("/b/pubspec.yaml", "name: shop\n", "shop"), ("/c/package.json", '{"name": "@s/p"}', "@s/p"), ("/d/Cargo.toml", "[deps]\nname = \"no\"\n[package]\nname = \"yes\"\n", "yes"), ("/e/package.json", "{", None)]
+# Case by case: language and name.
+_NAMED = [("'go'", "'m.org/' || source || '/' || doc_id"), ("'dart'", "'shop_' || doc_id"), ("'typescript'", "'@' || source || '/p' || doc_id"), ("'rust'", "source || '-' || doc_id"), ("NULL", "NULL")]
 
 
-@query(f"SELECT path, want AS capsule_id FROM {values('path, want', [(p, w) for p, _, w in MANIFEST_TEXTS])} WHERE want IS NOT NULL")
+@query(f"SELECT '/r/' || doc_id AS dir, {_by_sql('doc_id', *[x for x, _ in _NAMED])} AS lang, {_by_sql('doc_id', *[x for _, x in _NAMED])} AS capsule_id FROM documents WHERE doc_id % 5 <> 4")
 def manifest_ids(spark, sf_dir):
-    found = discover.manifests(trees.from_rows(spark, {p: c for p, c, _ in MANIFEST_TEXTS}))
-    names = literal(spark, "path string, c string, w string", MANIFEST_TEXTS).select("path", paths.dirname("path").alias("dir"))
-    return found.join(names, "dir").select("path", "capsule_id")
+    """Manifests with whole texts as comments or descriptions; a fifth is malformed and names nothing."""
+    body = lambda mark, rest: F.concat(_commented(mark), _filled(rest))
+    package = F.to_json(F.struct(F.col("text").alias("description"), _filled("@{s}/p{d}").alias("name")))
+    files = _manifest_tree(
+        spark, sf_dir,
+        [("go.mod", body("//", '\nmodule "m.org/{s}/{d}"\nmodule no\n'))], [("pubspec.yaml", body("#", " name: no\nname: shop_{d}\n"))], [("package.json", package)],
+        [("Cargo.toml", body("#", '[deps]\nname = "no"\n[package]\nname = "{s}-{d}"\n'))], [("package.json", F.concat(F.lit("{"), "text"))],
+    )
+    return discover.manifests(files).select("dir", "lang", "capsule_id")
+
+
+_FIRST = [("'go'", "'m' || doc_id"), ("'typescript'", "'y' || doc_id"), ("'dart'", "'z' || doc_id")]
+
+
+@query(f"SELECT '/r/' || doc_id AS capsule_dir, {_by_sql('doc_id', *[x for x, _ in _FIRST])} AS lang, {_by_sql('doc_id', *[x for _, x in _FIRST])} AS capsule_id FROM documents")
+def scan_manifest_first(spark, sf_dir):
+    """Of two manifests in a directory the first by language counts, if it names something."""
+    files = _manifest_tree(
+        spark, sf_dir,
+        [("package.json", _filled('{"name": "x"}')), ("go.mod", _filled("module m{d}\n"))], [("Cargo.toml", _filled("[package]\n")), ("package.json", _filled('{"name": "y{d}"}'))],
+        [("Cargo.toml", _filled('[package]\nname = "zz"\n')), ("pubspec.yaml", _filled("name: z{d}\n"))],
+    )
+    return discover.capsules(files, "/r", resolve_languages()).select("capsule_dir", "lang", "capsule_id")
 
 
 # ---- inference, styles, reports --------------------------------------------
