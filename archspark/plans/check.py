@@ -159,8 +159,8 @@ def verdicts(relations: DataFrame, nodes: DataFrame, edges: DataFrame, contracts
     return out.withColumn("rule", rule).withColumn("message", message)
 
 
-def check(files: DataFrame, root: str, languages: list[Language] | None = None, contract_name: str = CONTRACT_FILE, ignore_names: tuple[str, ...] = trees.IGNORE_FILES, within: str | None = None) -> Check:
-    """files: abs, is_dir, content of a whole tree, before ignore rules; with `within` only files of the capsules there are looked into."""
+def check(files: DataFrame, root: str, languages: list[Language] | None = None, contract_name: str = CONTRACT_FILE, ignore_names: tuple[str, ...] = trees.IGNORE_FILES, within: Iterable[str] | None = None) -> Check:
+    """files: abs, is_dir, content of a whole tree, before ignore rules; with `within` only files of capsules in these directories are looked into."""
     languages = languages or resolve_languages()
     seen = cut(trees.visible(files, root, ignore_names))
     caps = cut(discover.capsules(seen, root, languages))
@@ -174,8 +174,10 @@ def check(files: DataFrame, root: str, languages: list[Language] | None = None,
     inside = caps.select("capsule_dir").join(found.select("dir"), (F.col("dir") == F.col("capsule_dir")) | F.startswith(F.col("dir"), F.concat("capsule_dir", F.lit("/")))).filter("dir <> capsule_dir").select("capsule_dir").distinct().withColumn("scoped", F.lit(True))
     state = roots.join(inside, "capsule_dir", "left").filter(has_root | F.col("scoped"))
     open_caps = caps.join(state.filter(~has_root | F.col("readable")).select("capsule_dir"), "capsule_dir", "left_semi")
-    if within:
-        open_caps = open_caps.filter((F.col("capsule_dir") == within) | F.startswith(F.col("capsule_dir"), F.lit(within.rstrip("/") + "/")))
+    if within is not None:
+        places = files.sparkSession.createDataFrame([(d,) for d in within], "up string")
+        chain = open_caps.select("capsule_dir", F.explode(F.concat(F.array("capsule_dir"), paths.ancestors("capsule_dir"))).alias("up"))
+        open_caps = open_caps.join(chain.join(places, "up", "left_semi").select("capsule_dir"), "capsule_dir", "left_semi")
     own = discover.tracked(seen, caps, found, root).join(open_caps.select("capsule_dir"), "capsule_dir", "left_semi")
     # The contract of each file's scope: the root contract at the capsule itself.
     by_scope = contracts.filter("readable").select(F.col("dir").alias("scope"), F.col("contract").alias("scoped_contract"))

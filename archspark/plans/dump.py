@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import posixpath
+from collections import defaultdict
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from itertools import groupby
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,12 +15,16 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..languages import Language, resolve_languages, scannable
 from ..operators import validate
+from ..operators.match import nearest_ancestor
 from ..schema import CONTRACT_FILE
 from ..sources import contracts as contract_files
 from ..sources import discover, files as trees
 from ..sources.contracts import Contract
 from ..sources.shared import cut
 
+if TYPE_CHECKING:
+    from .check import Check
+
 
 def merged_dirs(files: DataFrame) -> DataFrame:
     """(contract, rel) -> contract, dir, glob, files: directories but the top one with several files."""
@@ -79,30 +86,52 @@ def restyle(documents: Iterable[tuple[str, str]], colours_name: str = "vibrant")
     return out
 
 
-def _relations(files: DataFrame, caps: DataFrame, capsule_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A capsule's scannable files (abs, rel) and its visible internal references (abs, target_abs), whatever contracts say."""
+def _relations(files: DataFrame, caps: DataFrame, dirs: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Scannable files (capsule_dir, abs, rel) of capsules that don't hold each other and their visible internal references (capsule_dir, abs, target_abs), whatever contracts say."""
     from .check import parse_imports, resolved
 
-    own = caps.filter(F.col("capsule_dir") == capsule_dir)
-    inside = files.filter(~F.col("is_dir") & F.startswith(F.col("abs"), F.lit(capsule_dir + "/"))).crossJoin(F.broadcast(own)).withColumn("rel", F.expr("substring(abs, length(capsule_dir) + 2)"))
+    own = caps.join(_column(files, "capsule_dir", dirs), "capsule_dir", "left_semi")
+    plain = files.filter(~F.col("is_dir")).withColumn("dir", paths.dirname("abs"))
+    owner = nearest_ancestor(plain.select("dir"), own.select(F.col("capsule_dir").alias("dir"))).filter("owner is not null").withColumnRenamed("owner", "capsule_dir")
+    inside = plain.join(owner, "dir").drop("dir").join(own, "capsule_dir").withColumn("rel", F.expr("substring(abs, length(capsule_dir) + 2)"))
     inside = inside.filter(scannable(F.col("rel"), F.col("lang")))
     imports = parse_imports(inside).select("abs", F.explode("imports").alias("i")).select("abs", "i.path").distinct()
     rows = inside.drop("content").join(imports, "abs")
-    return inside.select("abs", "rel"), resolved(rows, own, files, trees.empty_dirs(files, files)).select("abs", "target_abs").distinct()
+    references = resolved(rows, own, files, trees.empty_dirs(files, files)).select("capsule_dir", "abs", "target_abs").distinct()
+    return cut(inside.select("capsule_dir", "abs", "rel")), cut(references)
+
+
+def _column(like: DataFrame, name: str, values: Iterable[str]) -> DataFrame:
+    return like.sparkSession.createDataFrame([(v,) for v in values], f"{name} string")
+
+
+@dataclass
+class _Capsule:
+    """What is to be done for one capsule: contracts to amend in turn, and whether one is to be drafted."""
+
+    dir: str
+    language: Language
+    start: str
+    scoped: list[str]
+    turns: list[str]
+    drafted: bool
+    result: DumpResult = field(default_factory=DumpResult)
+    new: dict[str, Dumped] = field(default_factory=dict)
 
 
 def dump(files: DataFrame, root: str, languages: list[Language] | None = None, colours_name: str = "vibrant", contract_name: str = CONTRACT_FILE) -> DumpResult:
     """Contracts for every capsule: existing ones are amended, missing ones drafted; deepest capsules first.
 
-    A contract written for one capsule is seen by those after it, so capsules are a loop on
-    the driver; each step is a distributed plan over the files. Contracts themselves, of the
-    size a person reads, are put together on the driver.
+    A contract written for one capsule is seen by those around it. Capsules of one depth
+    don't hold each other, so they go together: a check for each language and each turn,
+    in which every capsule has one contract amended, and one plan for all references that
+    new contracts are drafted from. Contracts themselves, of the size a person reads, are
+    put together on the driver.
     """
     from .check import check
 
     languages = languages or resolve_languages()
-    seen = cut(trees.visible(files, root))
-    caps = cut(discover.capsules(seen, root, languages))
+    caps = cut(discover.capsules(cut(trees.visible(files, root)), root, languages))
     todo = [(r.capsule_dir, r.lang) for r in caps.orderBy(*dump_order("capsule_dir")).collect()]
     if not todo:
         raise ValueError(f"no capsules found at {root}")
@@ -112,36 +141,61 @@ def dump(files: DataFrame, root: str, languages: list[Language] | None = None, c
     def current() -> DataFrame:
         return trees.overlay(files, files.sparkSession.createDataFrame([(p, t) for p, t in written.items()], "abs string, content string")) if written else files
 
-    for capsule_dir, lang in todo:
-        language = by_name[lang]
-        start = root if root == capsule_dir or root.startswith(capsule_dir + "/") else capsule_dir
-        found = {r.dir: r for r in discover.contract_dirs(trees.visible(current(), root), contract_name).select("dir", "contract", "content").collect()}
-        at = next((d for d in _upward(start, capsule_dir) if d in found), None)
-        for d in sorted(d for d in found if (d + "/").startswith(capsule_dir + "/") and d != at):
-            _amend(current, check, root, capsule_dir, language, found[d].contract, found[d].content, written, result, colours_name, contract_name, is_new=False)
-        if at is not None:
-            _amend(current, check, root, capsule_dir, language, found[at].contract, found[at].content, written, result, colours_name, contract_name, is_new=False)
-            continue
-        merge = start == capsule_dir and language.file_globs
-        inside, references = _relations(trees.visible(current(), root), caps, capsule_dir)
-        scoped = [d for d in found if d.startswith(start + "/")]
-        first = _draft(inside, references, start, scoped, language, merge, ())
-        if not first.nodes:
-            result.errors.append((capsule_dir, f"capsule at {start} has no scannable files to dump"))
-            continue
-        best = first
-        groups = _cycles(first)
-        if groups and merge:
-            best = _expanded(inside, references, start, scoped, language, first, groups)
-        path = posixpath.join(start, contract_name)
-        written[path] = contract_files.render(best, colours_name)
-        entry = Dumped(path, True, len(best.nodes), len(best.edges), text=written[path])
-        result.contracts.append(entry)
-        if not _cycles(best):
-            _amend(current, check, root, capsule_dir, language, path, written[path].encode(), written, result, colours_name, contract_name, is_new=True, entry=entry)
+    def amend(turn: list[tuple[_Capsule, str]], texts: dict[str, str]) -> None:
+        for language in dict.fromkeys(c.language for c, _ in turn):
+            own = []
+            for c, path in turn:
+                if c.language == language:
+                    try:
+                        own.append((c, path, contract_files.parse(texts[path])))
+                    except contract_files.ContractError as e:
+                        c.result.errors.append((path, str(e)))
+            if own:
+                _amend(check(current(), root, [language], contract_name, within=[c.dir for c, _, _ in own]), own, written, colours_name)
+
+    for _, level in groupby(todo, lambda c: c[0].count("/") if c[0] != "/" else 0):
+        seen = cut(trees.visible(current(), root))
+        found = {r.dir: r for r in discover.contract_dirs(seen, contract_name).select("dir", "contract", "content").collect()}
+        texts = {r.contract: (r.content or b"").decode("utf-8", "replace") for r in found.values()}
+        capsules = []
+        for capsule_dir, lang in level:
+            start = root if root == capsule_dir or root.startswith(capsule_dir + "/") else capsule_dir
+            at = next((d for d in _upward(start, capsule_dir) if d in found), None)
+            below = sorted(d for d in found if (d + "/").startswith(capsule_dir + "/") and d != at)
+            scoped = [d for d in found if d.startswith(start + "/")]
+            capsules.append(_Capsule(capsule_dir, by_name[lang], start, scoped, [found[d].contract for d in [*below, *([at] if at is not None else [])]], at is None))
+        for turn in range(max(len(c.turns) for c in capsules)):
+            amend([(c, c.turns[turn]) for c in capsules if turn < len(c.turns)], texts)
+        if fresh := [c for c in capsules if c.drafted]:
+            inside, references = _relations(cut(trees.visible(current(), root)), caps, [c.dir for c in fresh])
+            ready = []
+            for c in fresh:
+                of = lambda rows: rows.filter(F.col("capsule_dir") == c.dir)  # noqa: B023, E731
+                best = _drafted(of(inside), of(references), c)
+                if not best.nodes:
+                    c.result.errors.append((c.dir, f"capsule at {c.start} has no scannable files to dump"))
+                    continue
+                path = posixpath.join(c.start, contract_name)
+                written[path] = texts[path] = contract_files.render(best, colours_name)
+                c.new[path] = Dumped(path, True, len(best.nodes), len(best.edges), text=written[path])
+                c.result.contracts.append(c.new[path])
+                if not _cycles(best):
+                    ready.append((c, path))
+            amend(ready, texts)
+        for c in capsules:
+            result.contracts += c.result.contracts
+            result.errors += c.result.errors
     return result
 
 
+def _drafted(inside: DataFrame, references: DataFrame, c: _Capsule) -> Contract:
+    """A capsule's new contract; one that cycles is drafted again with merged directories taken apart."""
+    merge = c.start == c.dir and c.language.file_globs
+    first = _draft(inside, references, c.start, c.scoped, c.language, merge, ())
+    groups = _cycles(first) if first.nodes and merge else []
+    return _expanded(inside, references, c.start, c.scoped, c.language, first, groups) if groups else first
+
+
 def dump_order(column: str) -> list[Column]:
     """Deepest first, then by name."""
     return [F.size(F.split(column, "/")).desc(), F.col(column).asc()]
@@ -210,25 +264,38 @@ def _expanded(inside: DataFrame, references: DataFrame, at: str, scoped: list[st
     return best
 
 
-def _amend(current, check, root, capsule_dir, language, path, content, written, result, colours_name, contract_name, is_new, entry=None) -> None:
-    """Nodes and edges for what a check finds in one contract's scope; nothing is taken away, and a contract with errors is left as it is."""
-    try:
-        now = contract_files.parse((content or b"").decode("utf-8", "replace"))
-    except contract_files.ContractError as e:
-        result.errors.append((path, str(e)))
-        return
-    found = check(current(), root, [language], contract_name, within=capsule_dir)
-    errors = [r for r in found.errors.filter(F.col("contract") == path).collect()]
-    if errors:
-        kinds = {r.rule for r in errors}
-        result.errors.append((path, "circular dependency" if "circular-dependency" in kinds else "; ".join(dict.fromkeys(r.message.rsplit(" (", 1)[0] for r in sorted(errors, key=lambda r: r.message)))))
-        return
-    at = posixpath.dirname(path)
-    own = found.violations.filter((F.col("capsule_dir") == capsule_dir) & F.col("rule").isin("no-node", "import-no-node", "import-not-allowed"))
+def _amend(found: Check, turn: list[tuple[_Capsule, str, Contract]], written: dict[str, str], colours_name: str) -> None:
+    """Nodes and edges for what a check finds in the scopes of a turn's contracts; nothing is taken away, and a contract with errors is left as it is."""
+    errors, rows, alone = defaultdict(list), defaultdict(set), defaultdict(set)
+    for r in found.errors.join(_column(found.errors, "contract", [path for _, path, _ in turn]), "contract", "left_semi").collect():
+        errors[r.contract].append(r)
+    dirs = _column(found.errors, "capsule_dir", [c.dir for c, _, _ in turn])
+    own = found.violations.filter(F.col("rule").isin("no-node", "import-no-node", "import-not-allowed")).join(dirs, "capsule_dir", "left_semi")
     wanted = found.relations.select(F.col("abs").alias("file"), "line", "col", "target_abs", "scope", "target_scope")
-    rows = own.join(wanted, ["file", "line", "col"], "left").select("file", "rule", "target_abs", "scope", "target_scope").distinct().collect()  # as many as broken relations
-    alone = {r.file: r.scope for r in found.tracked.filter("src is null").select(F.col("abs").alias("file"), "scope").collect()}
-    before = Contract(nodes=dict(now.nodes), edges=dict(now.edges))
+    for r in own.join(wanted, ["file", "line", "col"], "left").select("capsule_dir", "file", "rule", "target_abs", "scope", "target_scope").distinct().collect():  # as many as broken relations
+        rows[r.capsule_dir].add(r)
+    for r in found.tracked.filter("src is null").join(dirs, "capsule_dir", "left_semi").select("capsule_dir", "abs", "scope").collect():  # files without a node
+        alone[r.capsule_dir].add((r.abs, r.scope))
+    for c, path, now in turn:
+        if errors[path]:
+            kinds = {r.rule for r in errors[path]}
+            c.result.errors.append((path, "circular dependency" if "circular-dependency" in kinds else "; ".join(dict.fromkeys(r.message.rsplit(" (", 1)[0] for r in sorted(errors[path], key=lambda r: r.message)))))
+            continue
+        before = Contract(nodes=dict(now.nodes), edges=dict(now.edges))
+        _extend(now, posixpath.dirname(path), c.language, rows[c.dir], alone[c.dir])
+        if added(before, now) == (0, 0):
+            continue
+        if not c.language.file_globs:
+            now.displays = dict(now.nodes) | now.displays
+        written[path] = contract_files.render(now, colours_name)
+        entry = c.new.get(path) or Dumped(path, False, len(now.nodes), len(now.edges))
+        (entry.added_nodes, entry.added_edges), entry.text = added(before, now), written[path]
+        if entry not in c.result.contracts:
+            c.result.contracts.append(entry)
+
+
+def _extend(now: Contract, at: str, language: Language, rows: Iterable, alone: set[tuple[str, str]]) -> None:
+    """Adds to the contract of the directory `at` what broken relations and files without a node ask for."""
 
     def node(place: str, home: str) -> str | None:
         if home != at:
@@ -243,21 +310,12 @@ def _amend(current, check, root, capsule_dir, language, path, content, written,
 
     for r in sorted(rows, key=str):
         if r.rule == "no-node":
-            if alone.get(r.file) == at:
+            if (r.file, at) in alone:
                 node(r.file, at)
         elif r.target_abs and r.scope is not None:
             src, dst = node(r.file, r.scope), node(r.target_abs, r.target_scope)
             if src and dst and src != dst:
                 now.edges.setdefault((src, dst), 0)
-    if added(before, now) == (0, 0):
-        return
-    if not language.file_globs:
-        now.displays = dict(now.nodes) | now.displays
-    written[path] = contract_files.render(now, colours_name)
-    entry = entry or Dumped(path, is_new, len(now.nodes), len(now.edges))
-    (entry.added_nodes, entry.added_edges), entry.text = added(before, now), written[path]
-    if entry not in result.contracts:
-        result.contracts.append(entry)
 
 
 def _owner(nodes: dict[str, str], rel: str) -> str | None:

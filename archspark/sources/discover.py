@@ -46,7 +46,7 @@ def manifests(files: DataFrame) -> DataFrame:
         except ValueError:
             return None
 
-    ids = F.udf(name_of, "string")  # a row for each manifest, not for each file
+    ids = F.udf(name_of, "string", useArrow=True)  # a row for each manifest, not for each file
     plain = named.filter(F.col("lang") != "kotlin").select("dir", "lang", "rank", ids("lang", "content").alias("capsule_id"))
     kotlin = named.filter(F.col("lang") == "kotlin").select("dir", "lang", "rank")
     kotlin = kotlin.join(kotlin_ids(files, kotlin.select("dir").distinct()), "dir").select("dir", "lang", "rank", "capsule_id")
@@ -76,7 +76,7 @@ def root_contract(caps: DataFrame, contracts: DataFrame, root: str, name: str =
     chain = caps.select("capsule_dir", F.explode(F.concat(F.array(F.lit(root)), paths.ancestors(F.lit(root)))).alias("dir"))
     holds = (F.col("capsule_dir") == root) | F.startswith(F.lit(root), F.concat(F.col("capsule_dir"), F.lit("/")))
     chain = chain.filter(~holds | (F.length("dir") >= F.length("capsule_dir")))
-    best = chain.join(F.broadcast(contracts.select("dir", "contract")), "dir").groupBy("capsule_dir").agg(F.max_by("contract", F.length("dir")).alias("found"))
+    best = chain.join(contracts.select("dir", "contract"), "dir").groupBy("capsule_dir").agg(F.max_by("contract", F.length("dir")).alias("found"))
     return caps.select("capsule_dir").join(best, "capsule_dir", "left").select("capsule_dir", F.coalesce("found", F.concat("capsule_dir", F.lit(f"/{name}"))).alias("contract"))
 
 
@@ -94,7 +94,7 @@ def tracked(files: DataFrame, caps: DataFrame, contracts: DataFrame, root: str)
     own = files.filter(~F.col("is_dir") & _under("abs", root)).withColumn("dir", paths.dirname("abs"))
     dirs = own.select("dir").distinct()
     owner = nearest_ancestor(dirs, caps.select(F.col("capsule_dir").alias("dir"))).filter("owner is not null").withColumnRenamed("owner", "capsule_dir")
-    placed = owner.join(scopes(owner, contracts), ["capsule_dir", "dir"]).join(F.broadcast(caps), "capsule_dir")
+    placed = owner.join(scopes(owner, contracts), ["capsule_dir", "dir"]).join(caps, "capsule_dir")
     rows = own.join(placed, "dir").withColumn("rel", F.expr("substring(abs, length(capsule_dir) + 2)"))
     return rows.filter(scannable(F.col("rel"), F.col("lang"))).select("capsule_dir", "capsule_id", "lang", "abs", "rel", "scope", "content")
 

@@ -115,7 +115,7 @@ def ignore_rules(files: DataFrame, root: str, names: tuple[str, ...] = IGNORE_FI
     rows = ignore.lines(own.filter(inside | above)).withColumn("layer", F.when(inside, 2).otherwise(1))
     # From the top down, a directory's files in the order of names, lines in order; pre-order below the root.
     order = Window.partitionBy("layer").orderBy(F.split("dir", "/"), "rank", "line_no")
-    compiled = F.udf(lambda line: _compiled(line), "regex string, inclusion boolean")  # rules are few beside files
+    compiled = F.udf(lambda line: _compiled(line), "regex string, inclusion boolean", useArrow=True)  # rules are few beside files
     return base.unionByName(rows.withColumn("c", compiled("line")).select("layer", F.row_number().over(order).cast("long").alias("ordinal"), F.col("dir").alias("domain"), "c.regex", "c.inclusion"))
 
 

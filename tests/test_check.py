@@ -116,7 +116,7 @@ def test_renderers(found):
 
 
 def test_within_looks_into_one_capsule(spark, by_name):
-    some = check(trees.from_rows(spark, TREE), "/w", within="/w/rules")
+    some = check(trees.from_rows(spark, TREE), "/w", within=["/w/rules"])
     assert {r.capsule_dir for r in some.tracked.select("capsule_dir").distinct().collect()} == {"/w/rules"}
     own = {c.label: (c, violations) for c, violations, _ in report.collect(some)["capsules"]}["/w/rules"]
     assert own == by_name["rules"][:2]
