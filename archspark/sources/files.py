@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -16,28 +17,61 @@ from ..schema import FILES, IGNORE_FILES
 
 
 class _Tree(DataSourceReader):
+    """Directories are listed from the top down until there are PARTS of them, then dealt out."""
+
+    PARTS, BATCH_BYTES = 256, 16 << 20
+
     def __init__(self, root: str) -> None:
         self.root = os.path.abspath(root)
 
     def partitions(self) -> list[InputPartition]:
-        """The files of the root, and each directory below it."""
-        names = sorted(os.listdir(self.root)) if os.path.isdir(self.root) else []
-        return [InputPartition(None), *(InputPartition(n) for n in names if os.path.isdir(f"{self.root}/{n}") and not os.path.islink(f"{self.root}/{n}"))]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if partition.value is None:
-            for e in sorted(os.scandir(self.root), key=lambda e: e.name):
-                if e.is_file():
+        """Of (directory, whether what lies below its directories belongs to it, too)."""
+        done, level = [], [self.root]
+        while level and len(done) + len(level) < self.PARTS:
+            done += [(d, False) for d in level]
+            level = [e.path for d in level for e in _entries(d) if _descend(e)]
+        every = done + [(d, True) for d in level]
+        return [InputPartition(every[k :: self.PARTS]) for k in range(min(self.PARTS, len(every)))]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        """Batches of files until their contents reach BATCH_BYTES."""
+        schema = pa.schema([("abs", pa.string()), ("is_dir", pa.bool_()), ("content", pa.binary())])
+        rows, size = [], 0
+        for row in self._rows(partition.value):
+            rows.append(row)
+            size += len(row[0]) + len(row[2] or b"")
+            if size >= self.BATCH_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
+
+    @staticmethod
+    def _rows(at: list[tuple[str, bool]]) -> Iterator[tuple[str, bool, bytes | None]]:
+        todo = list(at)
+        while todo:
+            top, whole = todo.pop()
+            for e in _entries(top):
+                if not e.is_dir():
                     yield e.path, False, _content(e.path)
-            return
-        top = f"{self.root}/{partition.value}"
-        yield top, True, None
-        for at, dirs, names in os.walk(top):
-            dirs.sort()
-            for d in dirs:
-                yield f"{at}/{d}", True, None
-            for n in sorted(names):
-                yield f"{at}/{n}", False, _content(f"{at}/{n}")
+                    continue
+                yield e.path, True, None
+                if whole and _descend(e):
+                    todo.append((e.path, True))
+
+
+def _entries(path: str) -> list[os.DirEntry]:
+    """None where a directory is missing or can't be listed."""
+    try:
+        with os.scandir(path) as found:
+            return sorted(found, key=lambda e: e.name)
+    except OSError:
+        return []
+
+
+def _descend(e: os.DirEntry) -> bool:
+    """Links to directories are entries, but what lies behind them isn't."""
+    return e.is_dir() and not e.is_symlink()
 
 
 def _content(path: str) -> bytes | None:
@@ -64,6 +98,7 @@ class TreeSource(DataSource):
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
+    """The root must be a path that every executor sees."""
     spark.dataSource.register(TreeSource)
     return spark.read.format("archtree").load(root)
 
