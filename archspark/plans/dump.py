@@ -141,22 +141,26 @@ def dump(files: DataFrame, root: str, languages: list[Language] | None = None, c
     def current() -> DataFrame:
         return trees.overlay(files, files.sparkSession.createDataFrame([(p, t) for p, t in written.items()], "abs string, content string")) if written else files
 
-    def amend(turn: list[tuple[_Capsule, str]], texts: dict[str, str]) -> None:
+    def amend(turn: list[tuple[_Capsule, str]], texts: dict[str, str | None]) -> None:
         for language in dict.fromkeys(c.language for c, _ in turn):
             own = []
             for c, path in turn:
-                if c.language == language:
-                    try:
-                        own.append((c, path, contract_files.parse(texts[path])))
-                    except contract_files.ContractError as e:
-                        c.result.errors.append((path, str(e)))
+                if c.language != language:
+                    continue
+                if (text := texts[path]) is None:
+                    c.result.errors.append((path, contract_files.unreadable(path)))
+                    continue
+                try:
+                    own.append((c, path, contract_files.parse(text)))
+                except contract_files.ContractError as e:
+                    c.result.errors.append((path, str(e)))
             if own:
                 _amend(check(current(), root, [language], contract_name, within=[c.dir for c, _, _ in own]), own, written, colours_name)
 
     for _, level in groupby(todo, lambda c: c[0].count("/") if c[0] != "/" else 0):
         seen = cut(trees.visible(current(), root))
         found = {r.dir: r for r in discover.contract_dirs(seen, contract_name).select("dir", "contract", "content").collect()}
-        texts = {r.contract: (r.content or b"").decode("utf-8", "replace") for r in found.values()}
+        texts = {r.contract: None if r.content is None else r.content.decode("utf-8", "replace") for r in found.values()}
         capsules = []
         for capsule_dir, lang in level:
             start = root if root == capsule_dir or root.startswith(capsule_dir + "/") else capsule_dir

@@ -103,8 +103,8 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("archtree").load(root)
 
 
-def from_rows(spark: SparkSession, contents: dict[str, str | bytes]) -> DataFrame:
-    """A tree from absolute paths and contents; directories follow from the paths."""
+def from_rows(spark: SparkSession, contents: dict[str, str | bytes | None]) -> DataFrame:
+    """A tree from absolute paths and contents, none for files that can't be read; directories follow from the paths."""
     dirs = {p for path in contents for p in _above(path)}
     rows = [(d, True, None) for d in sorted(dirs)] + [(p, False, c.encode() if isinstance(c, str) else c) for p, c in sorted(contents.items())]
     return spark.createDataFrame(rows, FILES)

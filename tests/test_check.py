@@ -24,6 +24,8 @@ CAPSULES = {
     "rules": GO,
     "syntax": GO | {"api/b.go": "package api\nimport 5\n"},
     "unreadable": GO | {"CONTRACT.md": contract("what is this")},
+    "locked": GO | {"CONTRACT.md": None},
+    "shut": GO | {"store/s.go": None},
     "cross": {
         "pubspec.yaml": "name: shop\n",
         "CONTRACT.md": contract('ui["lib/ui/&ast;&ast;"]', 'core["lib/core/&ast;&ast;"]', "ui --> core"),
@@ -64,7 +66,9 @@ VIOLATIONS = {
     "cross": [("import-not-allowed", "lib/core/core.dart:1:9 (core) → lib/ui/page.dart (ui)" + RELATION)],
     "aliases": [("import-not-allowed", f"src/ui/a.ts:{at} (ui) → src/io/b.ts (io)" + RELATION) for at in ("1:20", "2:16")],
 }
+VIOLATIONS["shut"] = VIOLATIONS["rules"]
 ERRORS = {
+    "locked": ["read CONTRACT.md: permission denied"],
     "unreadable": ["unrecognized mermaid line: what is this (CONTRACT.md:5)"],
     "errors": [
         "c (CONTRACT.md:7) references x/y.go — file-shaped nodes require a language that supports file globs",
@@ -104,6 +108,7 @@ def test_capsule(by_name, name):
 def test_counts(by_name):
     numbers = lambda n: tuple(by_name[n][0][k] for k in ("files_encountered", "files_scanned", "relations", "nodes", "edges"))
     assert numbers("rules") == (4, 3, 3, 3, 2)
+    assert numbers("shut") == (4, 2, 3, 3, 2)
     assert numbers("errors") == (0, 0, 0, 4, 3)
     assert "import path must be a string" in by_name["syntax"][0].source_error
     assert report.stats(by_name["rules"][0]) == " (3 of 4 files scanned, 3 internal imports checked, graph: 3 nodes, 2 edges)"

@@ -47,6 +47,7 @@ CAPSULES = {
         "a/a.go": "package a\n",
         "c/c.go": "package c\n",
     },
+    "locked": {"go.mod": "module ex.org/locked\n", "CONTRACT.md": None, "a/a.go": "package a\n"},
     "unclosed": {"go.mod": "module ex.org/unclosed\n", "CONTRACT.md": "```mermaid\nflowchart TD\na[a]\n", "a/a.go": "package a\n"},
 }
 
@@ -55,7 +56,7 @@ def test_amendment(spark):
     tree = {"/w/.git": ""} | {f"/w/{name}/{path}": text for name, files in CAPSULES.items() for path, text in files.items()}
     found = dump.dump(trees.from_rows(spark, tree), "/w", colours_name="none")
     # Contracts with errors stay as they are.
-    assert sorted(found.errors) == [("/w/loop/CONTRACT.md", "circular dependency"), ("/w/unclosed/CONTRACT.md", "unclosed ```mermaid block")]
+    assert sorted(found.errors) == [("/w/locked/CONTRACT.md", "read /w/locked/CONTRACT.md: permission denied"), ("/w/loop/CONTRACT.md", "circular dependency"), ("/w/unclosed/CONTRACT.md", "unclosed ```mermaid block")]
     (got,) = found.contracts
     assert (got.path, got.is_new, got.added_nodes, got.added_edges) == ("/w/gaps/CONTRACT.md", False, 1, 2)
     read = contracts.parse(got.text)
