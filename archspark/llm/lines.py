@@ -10,12 +10,14 @@ leaves enough edits on either side. Candidates must keep enough of twice as many
 unchanged and are verified with banded bit-parallel edit distance (a band of
 2 * MAX_EDITS + 1 bits along the diagonal, one step a character).
 
-With one edit, a key whose lines could make more than FEW pairs (a template's, say) takes
-candidates in proportion to its lines: of what stands beside the segment, all forms with
-one character left out. Lines that agree in the form and the place of the gap differ by a
-substitution, and a line equal to another's form by an insertion: each group is joined as a
-star. Both ways are exact, and the candidates of both are verified alike. With more edits
-all pairs of a key are candidates.
+With one edit, a key whose lines could make more than FEW pairs (a template's, say) is
+split again: what stands beside the segment is cut into PARTS windows, one of which holds
+the edit, and the key of a window is that of all else. Windows go on as long as they have
+that many lines, up to LAST characters; there candidates are taken in proportion to lines:
+all forms of the window with one character left out. Lines that agree in the form and the
+place of the gap differ by a substitution, and a line equal to another's form by an
+insertion: each group is joined as a star. All ways are exact, and their candidates are
+verified alike. With more edits all pairs of a key are candidates.
 
 A line's id is a 64-bit hash of it. Blank lines and lines shorter than LEAST (without outer
 spaces) always stay. Null text has no lines and stays null; empty text has one, blank.
@@ -24,6 +26,8 @@ Repeated rows count as one document. A null doc_id comes first. Empty tables giv
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +35,8 @@ from .common import join_counted, settle, table
 from .graph import components
 
 MAX_EDITS, FUZZY, LEAST, FEW = 1, 24, 16, 16
+#: Windows that a crowded key's is cut into, and the longest that isn't cut further (PARTS - 1 at least: none is empty).
+PARTS, LAST = 4, 8
 #: Documents whose ids may be broadcast to pick candidate lines; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -107,21 +113,34 @@ def _lines_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return settle(own.join(ids, ["sid", "no"]).groupBy("id").agg(F.min("line").alias("line")), "line-texts")
 
 
+def shared(entries: DataFrame, tag: str) -> DataFrame:
+    """The rows of entries (key, id, probe, ...) whose key has an index entry and another, with the key's counts `all` and `indexed`."""
+    keys = entries.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.sum(1 - F.col("probe")).alias("indexed"))
+    keys = settle(keys.filter("indexed > 0 and all > 1"), f"{tag}-keys")
+    return settle(join_counted(entries, keys, "key", "all"), f"{tag}-members")
+
+
+def crowded() -> Column:
+    """Whether the lines of a key of shared() could make more than FEW pairs."""
+    return F.col("all") * F.col("indexed") > FEW
+
+
+def all_pairs(members: DataFrame) -> DataFrame:
+    """key, id, probe -> pairs (a, b), a < b, of an index entry and any other of its key."""
+    met = members.filter("probe = 0").select("key", F.col("id").alias("a")).join(members.select("key", F.col("id").alias("b"), "probe"), "key").filter("a <> b and (probe = 1 or a < b)")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def near_pairs(known: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """Edges (a, b) between ids of different lines within k edits; for k = 1 enough of them for the same components."""
     longer = known.filter(F.col("n") >= FUZZY)
     entries = longer.select("id", F.explode("index").alias("x")).select("id", "x.*", F.lit(0).alias("probe"))
     entries = entries.union(longer.select("id", F.explode("probes").alias("x")).select("id", "x.*", F.lit(1)))
-    keys = entries.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.sum(1 - F.col("probe")).alias("indexed"))
-    keys = settle(keys.filter("indexed > 0 and all > 1"), "line-keys")
-    members = settle(join_counted(entries, keys, "key", "all"), "line-members")
-    few = members.filter(F.col("all") * F.col("indexed") <= FEW) if k == 1 else members
-    met = few.filter("probe = 0").select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b"), "probe"), "key").filter("a <> b and (probe = 1 or a < b)")
-    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    crowded = members.filter(F.col("all") * F.col("indexed") > FEW).select("key", "id", "at", "size") if k == 1 else None
+    members = shared(entries, "line")
+    met = all_pairs(members.filter(~crowded()) if k == 1 else members)
     texts = _lines_of(docs, members.select("id").distinct().join(known, "id").select("id", "first.sid", "first.no"))
-    if crowded is not None:
-        met = met.union(gap_pairs(crowded.join(texts, "id")))
+    if k == 1:
+        met = met.union(gap_pairs(members.filter(crowded()).select("key", "id", "at", "size").join(texts, "id")))
     pairs = settle(met.distinct(), "line-pairs")
     rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
     return settle(rows.filter(enough_blocks(k)).filter(within(k)).select("a", "b"), "line-edges")
@@ -153,18 +172,50 @@ def whole_form(rest: str = "rest") -> Column:
     return F.expr(f"transform(array({size}), s -> aggregate(sequence(0, cast(greatest(ceil(length({rest}) / 4 / s) - 1, 0) as int)), 0L, (x, c) -> x ^ xxhash64(c, substring({rest}, cast(4 * c * s + 1 as int), cast(4 * s as int)))))[0]")
 
 
+def windows() -> Column:
+    """Of `rest`, a window of w characters or, for a probe, one more: array<(key, w, rest)> of its PARTS windows, all else of it hashed into their keys.
+
+    A substitution lies in one of them. So does the probe's further character, as each
+    window of a probe ends one place behind the index entries'.
+    """
+    out = []
+    for j in range(PARTS):
+        at, size = f"cast(w * {j} div {PARTS} as int)", f"cast((w * {j + 1} div {PARTS}) - (w * {j} div {PARTS}) as int)"
+        own = f"({size} + length(rest) - w)"
+        out.append(f"named_struct('key', xxhash64(key, {j}, substring(rest, 1, {at}), substring(rest, {at} + {own} + 1)), 'w', {size}, 'rest', substring(rest, {at} + 1, {own}))")
+    return F.expr("array(" + ", ".join(out) + ")")
+
+
 def gap_pairs(members: DataFrame) -> DataFrame:
-    """For one edit: key, id, at, size, line -> pairs (a, b) that join all lines of a key whose rests are one edit apart.
+    """For one edit: key, id, at, size, line -> pairs (a, b), enough to join all lines of a key whose rests are one edit apart.
+
+    The segment is a line's beginning or end, so the rest is one window. A line has a row for
+    each window on the way, and goes on with those in which it still meets more than few.
+    """
+    rest = F.expr("concat(substring(line, 1, at), substring(line, at + size + 1))")
+    rows = settle(members.select("key", "id", rest.alias("rest")), "line-rests")
+    keys = settle(rows.groupBy("key").agg(F.min(F.length("rest")).alias("w"), F.count(F.lit(1)).alias("all")), "line-rest-keys")
+    rows = join_counted(rows, keys, "key", "all")
+    few, last, going = [], [], True
+    while going:
+        last.append(rows.filter(F.col("w") <= LAST).select("key", "id", "rest"))
+        parts = settle(rows.filter(F.col("w") > LAST).select("id", F.explode(windows()).alias("x")).select("id", "x.*").withColumn("probe", F.length("rest") - F.col("w")), "line-windows")
+        parts = shared(parts, "line-window")
+        few.append(parts.filter(~crowded()).select("key", "id", "probe"))
+        rows = parts.filter(crowded()).select("key", "id", "w", "rest")
+        going = not rows.isEmpty()
+    return all_pairs(reduce(DataFrame.union, few)).union(form_pairs(reduce(DataFrame.union, last)))
+
+
+def form_pairs(members: DataFrame) -> DataFrame:
+    """key, id, rest -> pairs (a, b) that join all lines of a key whose rests are one edit apart.
 
     A substitution leaves the same form with the gap at the same place: such lines are all
     one substitution apart, and each meets the smallest id. An insertion leaves a form that
     is the whole of the shorter line's rest. No pair is emitted that isn't one or the other.
     """
-    wide = "encode(line, 'UTF-32')"
-    # A line break, which no line holds, stands for the segment.
-    rest = F.expr(f"concat(substring({wide}, 1, 4 * at), encode('\n', 'UTF-32'), substring({wide}, 4 * (at + size) + 1))")
-    rests = settle(members.select("key", "id", "at", rest.alias("rest")).distinct(), "line-rests")
-    gaps = rests.select("key", "id", "at", F.explode(gap_forms()).alias("g")).select("key", "id", "at", "g.*").filter("place <> at").drop("at")
+    rests = members.select("key", "id", F.encode("rest", "UTF-32").alias("rest"))
+    gaps = settle(rests.select("key", "id", F.explode(gap_forms()).alias("g")).select("key", "id", "g.*"), "line-forms")
     hubs = gaps.groupBy("key", "form", "place").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     same = gaps.join(hubs, ["key", "form", "place"]).select(F.col("hub").alias("a"), F.col("id").alias("b"))
     whole = rests.select("key", whole_form().alias("form"), F.col("id").alias("a"))
